@@ -35,6 +35,8 @@ UNIGRAMS = 0x20000
 TRUST = 1e-3
 #: A text is examined where four bigrams in a row are less likely than this, in nats.
 STRANGE = -26.0
+#: ... or where a letter is followed by a sign beyond ASCII less likely than this.
+ALIEN = -9.0
 #: No character of the text as it stands counts as less likely than this: it may be rare for other reasons.
 FLOOR = -8.0
 ESCAPE = -11.0
@@ -55,6 +57,7 @@ WEIGHT = 100.0
 ITERATIONS = 3
 
 SINGLE = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "koi8-r", "cp866", "cp437", "cp850", "mac-roman", "cp874")
+FOREIGN = ("cp1251", "koi8-r", "cp866", "cp874", "cp1256")
 DOUBLE = ("gbk", "big5", "cp932", "euc-jp", "cp949")
 CHAINS = tuple(
     [("utf-8", d) for d in ("latin-1", "cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-roman", "cp874", *DOUBLE)]
@@ -151,9 +154,46 @@ def bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B)) ^ (a >> np.uint32(3))) >> np.uint32(11)
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point below 65,536: 1 Latin beyond ASCII and its symbols, 2 boxes and blocks, 4 letters, 8 other signs."""
+    kind = np.zeros(0x10000, np.uint8)
+    kind[0x80:0x180] = 1
+    kind[[0x192, 0x2C6, 0x2DC]] = 1
+    kind[0x2500:0x25A0] = 2
+    for cp in range(0x41, 0x600):
+        if chr(cp).isalpha():
+            kind[cp] |= 4
+    kind[0x2010:0x2123] |= 8
+    kind[[*range(0xA1, 0xC0), 0xD7, 0xF7]] |= 8
+    kind[0x370:0x400] |= 8
+    return kind
+
+
+def signed(cps: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Characters that show a wrong encoding by themselves: lost ones, stray controls, three signs in a row of
+    which one is beyond ASCII Latin, boxes next to letters. Such texts teach the model nothing."""
+    odd = (cps == LOST) | ((cps >= 0x80) & (cps < 0xA0) & (cps != 0x85))
+    if len(cps) > 2:
+        kind = _kinds()[np.minimum(cps, 0xFFFF)]
+        sign = (kind & 9) > 0
+        latin = (kind & 1) > 0
+        three = sign[2:] & sign[1:-1] & sign[:-2] & (latin[2:] | latin[1:-1] | latin[:-2]) & (row[2:] == row[:-2])
+        odd[:-2] |= three
+        box, letter = (kind & 2) > 0, (kind & 4) > 0
+        odd[:-1] |= ((box[1:] & letter[:-1]) | (box[:-1] & letter[1:])) & (row[1:] == row[:-1])
+    return odd
+
+
 def count(cps: np.ndarray, starts: np.ndarray, pairs: np.ndarray, single: np.ndarray) -> None:
-    """Add the texts to the counts."""
+    """Add the texts to the counts, but for those that show damage by themselves."""
     shapes, before, seen = shaped(cps, starts)
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    odd = signed(cps, row)
+    if odd.any():
+        bad = np.zeros(len(starts) - 1, bool)
+        bad[row[odd]] = True
+        seen = ~bad[row] if seen is None else seen & ~bad[row]
     if seen is not None:
         shapes, before = shapes[seen], before[seen]
     pairs += np.bincount(bucket(before, shapes), minlength=BUCKETS)
@@ -164,11 +204,16 @@ def strange(cps: np.ndarray, starts: np.ndarray, model: Model) -> tuple[np.ndarr
     """Which characters begin an unlikely stretch, are lost or stray control characters; and each one's text."""
     n = len(starts) - 1
     row = np.repeat(np.arange(n), np.diff(starts))
-    score = np.concatenate([[0], np.cumsum(model.likelihood(cps, starts), dtype=np.float64)])
+    each = model.likelihood(cps, starts)
+    score = np.concatenate([[0], np.cumsum(each, dtype=np.float64)])
     window = np.full(len(cps), 0.0)
     window[: max(0, len(cps) - 3)] = score[4:] - score[:-4]
     window[: max(0, len(cps) - 3)][row[3:] != row[:-3]] = 0
-    odd = (window < STRANGE) | (cps == LOST) | ((cps >= 0x80) & (cps < 0xA0) & (cps != 0x85))
+    odd = (window < STRANGE) | signed(cps, row)
+    # a letter and a sign that never go together, within a word
+    rare = (each < ALIEN) & (cps >= 0x80) & (cps < 0x2600)
+    rare[1:] &= (_kinds()[np.minimum(cps[:-1], 0xFFFF)] & 4) > 0
+    odd |= rare
     return odd, row
 
 
@@ -221,6 +266,9 @@ def undo(cps: np.ndarray, starts: np.ndarray, own: np.ndarray, chain: tuple[str,
     ll[(out >= 0xDC80) & (out <= 0xDCFF)] = ESCAPE
     ll[(out >= 0x80) & (out < 0xA0)] = ESCAPE
     ll[(out >= 0xE000) & (out < 0xF900)] = ESCAPE
+    if right in FOREIGN and len(out) > 1:  # words of two scripts
+        plain, other = (out < 0x80) & ((out | 0x20) >= 0x61) & ((out | 0x20) <= 0x7A), out >= 0x370
+        ll[1:][(plain[:-1] & other[1:]) | (other[:-1] & plain[1:])] = ESCAPE
     new = np.concatenate([[0], np.cumsum(ll, dtype=np.float64)])
     both = np.zeros(len(raw) + 1, np.int8)
     both[at] += 1
