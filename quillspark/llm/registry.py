@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_boilerplate, queries_encodings, queries_lookalike, queries_split, queries_stuffing, queries_tokens
+from . import queries_boilerplate, queries_encodings, queries_lookalike, queries_sentences, queries_split, queries_stuffing, queries_tokens
 
-MODULES = (queries_encodings, queries_split, queries_lookalike, queries_boilerplate, queries_stuffing, queries_tokens)
+MODULES = (queries_encodings, queries_split, queries_lookalike, queries_boilerplate, queries_sentences, queries_stuffing, queries_tokens)
 
 
 def queries() -> dict:
