@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import incremental
+from . import books, incremental, texts
 
-MODULES = (incremental,)
-FLAGSHIP = "p3_found"
+MODULES = (incremental, texts, books)
+FLAGSHIP = "inspect_chapters"
 
 
 def queries() -> dict:
