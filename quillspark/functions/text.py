@@ -45,7 +45,7 @@ def char_count(s: Column) -> Column:
 
 def split_sentences(s: Column) -> Column:
     """Trimmed, non-empty sentences; a text of blanks alone gives one empty string."""
-    parts = F.filter(F.transform(F.regexp_extract_all(s, F.lit(SENTENCE), F.lit(0)), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.regexp_extract_all(s, F.lit(SENTENCE), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(s)))
 
 
