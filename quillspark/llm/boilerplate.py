@@ -53,12 +53,11 @@ def _components(nodes: pd.DataFrame) -> pd.DataFrame:
             k = parent[k]
         return k
 
-    for k in nodes["key"]:
+    for k in (*nodes["key"], *nodes["next"]):
         parent.setdefault(k, k)
     for a, b in zip(nodes["key"], nodes["next"], strict=True):
-        if pd.notna(b) and int(b) in parent:
-            x, y = root(a), root(int(b))
-            parent[max(x, y)] = min(x, y)
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
     own = nodes.drop_duplicates("key")
     return pd.DataFrame({"source": own["source"], "key": own["key"], "block": [root(k) for k in own["key"]], "n_docs": own["n_docs"], "n_source": own["n_source"]})
 
@@ -75,7 +74,7 @@ def boilerplate_blocks(keyed: DataFrame, min_docs: int = MIN_DOCS, min_percent:
     pairs = F.array_distinct(F.filter(F.zip_with(kept, F.slice(kept, 2, F.size("keys") + 1), lambda a, b: F.struct(a.alias("key"), b.alias("next"))), lambda x: x["next"].isNotNull()))
     edges = matched.select("source", F.explode(pairs).alias("e")).groupBy("source", "e.key", "e.next").agg(F.count("*").alias("weight"))
     edges = join_small(edges, nodes.select("source", "n_source").distinct(), ["source"]).where((F.col("weight") >= min_docs) & (F.col("weight") * 100 >= F.col("n_source") * min_percent))
-    graph = nodes.select("source", "key", F.lit(None).cast("bigint").alias("next"), "n_docs", "n_source").unionByName(edges.select("source", "key", "next", F.lit(0).cast("bigint").alias("n_docs"), "n_source"))
+    graph = nodes.select("source", "key", F.col("key").alias("next"), "n_docs", "n_source").unionByName(edges.select("source", "key", "next", F.lit(0).cast("bigint").alias("n_docs"), "n_source"))
     blocks = graph.groupBy("source").applyInPandas(_blocks_of_source, "source string, key bigint, block bigint, n_docs bigint, n_source bigint")
     return blocks, matched
 

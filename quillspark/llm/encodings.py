@@ -49,6 +49,7 @@ LOST_GAIN = 30.0
 #: Rounds of undoing for texts that went through several chains or through one in several places.
 ROUNDS = 5
 AGAIN = 7.0
+KNOWN = 3.0
 #: Chains kept as evidence for each text.
 KEEP = 3
 #: Prior: share of damaged texts, and how many texts' weight the whole corpus has in each source's prior.
@@ -119,7 +120,8 @@ class Model:
         total = max(1.0, float(self.single.sum()))
         alpha = TRUST * total
         back = alpha * (self.single + 0.2) / (total + 0.2 * len(self.single))
-        return self.pairs.astype(np.float32), back.astype(np.float32), np.log(self.single + alpha).astype(np.float32)
+        # a pair seen once is as good as unseen: it may be the very text that is judged
+        return np.maximum(self.pairs - 1, 0).astype(np.float32), back.astype(np.float32), np.log(self.single + alpha).astype(np.float32)
 
     def likelihood(self, cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log-probability of each character after the one before it; the first of a text follows a line feed.
@@ -377,13 +379,15 @@ def evidence_of(texts: list[np.ndarray], model: Model) -> list[list[tuple[float,
             break
         odd, row = strange(*_marked([state[i][2] for i in again]), model)
         again = [again[k] for k in np.flatnonzero(np.bincount(row[odd], minlength=len(again)))]
-        more = explain([state[i][2] for i in again], model, 1) if again else []
+        more = explain([state[i][2] for i in again], model) if again else []
         left = []
         for i, m in zip(again, more, strict=True):
-            if m and m[0][0] > AGAIN:
-                gain, chain, text = state[i]
-                names = chain.split("|")
-                state[i] = (gain + m[0][0], chain if m[0][1] in names else "|".join([*names, m[0][1]]), m[0][2])
+            gain, chain, _ = state[i]
+            names = chain.split("|")
+            # the chain that the rest of the text went through, else the best one
+            best = next((x for x in m if x[1] in names and x[0] > KNOWN), m[0] if m and m[0][0] > AGAIN else None)
+            if best:
+                state[i] = (gain + best[0], chain if best[1] in names else "|".join([*names, best[1]]), best[2])
                 left.append(i)
         again = left
     out = []
@@ -498,10 +502,11 @@ def posterior(found: DataFrame, totals: DataFrame) -> DataFrame:
             now = rows.withColumn("_prior", F.lit(start))
         else:
             now = join_small(rows, prior, ["_key", "chain"], "left").fillna(start / 10, ["_prior"])
-        weight = F.col("_prior") * F.exp(F.least("gain", F.lit(300.0)))
-        now = now.withColumn("_w", weight).withColumn("posterior", F.col("_w") / (F.sum("_w").over(one) + (1 - DAMAGED)))
+        now = now.withColumn("_top", F.greatest(F.max("gain").over(one), F.lit(0.0)))
+        now = now.withColumn("_w", F.col("_prior") * F.exp(F.col("gain") - F.col("_top")))
+        now = now.withColumn("posterior", F.col("_w") / (F.sum("_w").over(one) + (1 - DAMAGED) * F.exp(-F.col("_top"))))
         if _ == ITERATIONS:
-            return now.drop("_key", "_prior", "_w")
+            return now.drop("_key", "_prior", "_w", "_top")
         mass = cut(now.groupBy("_key", "chain").agg(F.sum("posterior").alias("m")), "em")
         common = mass.groupBy("chain").agg(((F.sum("m") + start) / (whole + kinds)).alias("common"))
         prior = join_small(join_small(mass, sizes, ["_key"], "left"), common, ["chain"])

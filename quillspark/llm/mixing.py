@@ -14,6 +14,7 @@ documents can't contribute; the others share their weight in proportion.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,7 +48,7 @@ def schedule(weights: list[float], slots: int = SLOTS) -> np.ndarray:
     return np.minimum(np.searchsorted(edges, points, "right"), len(weights) - 1)
 
 
-def plan_mix(targets: list[Target], tokens: dict[str, int], total: float | None = None, slots: int = SLOTS) -> list[tuple[Target, int, np.ndarray]]:
+def plan_mix(targets: list[Target], tokens: dict[str, int], total: float | None = None, slots: int = SLOTS) -> list[tuple[Target, float, np.ndarray]]:
     """(target, tokens of a block, slots) of each source of one mix that contributes."""
     usable = [t for t in targets if t.weight and t.weight > 0 and tokens.get(t.source, 0) > 0 and (t.max_repeats is None or t.max_repeats > 0)]
     if not usable:
@@ -57,7 +58,7 @@ def plan_mix(targets: list[Target], tokens: dict[str, int], total: float | None
         limits = [t.max_repeats * tokens[t.source] * whole / t.weight for t in usable if t.max_repeats is not None]
         total = min(limits) if limits else max(tokens[t.source] * whole / t.weight for t in usable)
     order = schedule([t.weight for t in usable], slots)
-    block = max(1, int(total / slots))
+    block = total / slots
     return [(t, block, np.flatnonzero(order == k)) for k, t in enumerate(usable)]
 
 
@@ -95,11 +96,11 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     for mix_id in dict.fromkeys(t.mix_id for t in wanted):
         for t, block, own in plan_mix([t for t in wanted if t.mix_id == mix_id], tokens, total, slots):
             need = len(own) * block
-            times = -(-need // tokens[t.source])
+            times = math.ceil(need / tokens[t.source])
             if t.max_repeats is not None:
                 times = min(times, t.max_repeats)
             parts.append((mix_id, t.source, block, need, times, tokens[t.source], own.tolist()))
-    plan = spark.createDataFrame(parts, "mix_id int, source string, block long, need long, times int, whole long, slots array<int>")
+    plan = spark.createDataFrame(parts, "mix_id int, source string, block double, need double, times int, whole long, slots array<int>")
     at = F.col("start") + F.col("repeat_no") * F.col("whole")
     drawn = join_small(starts, plan, ["source"]).withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).where(at + F.col("tokens") / 2 <= F.col("need"))
     draws = drawn.select("mix_id", "source", F.col("key").alias(key), "repeat_no", F.get("slots", F.least(F.floor(at / F.col("block")).cast("int"), F.size("slots") - 1)).alias("slot"), "tokens")
@@ -107,6 +108,6 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     each, every = Window.partitionBy("mix_id"), F.coalesce("tokens", F.lit(0))
     named = spark.createDataFrame([(t.mix_id, t.source, t.weight) for t in wanted], "mix_id int, source string, weight double")
     shares = named.join(sums, ["mix_id", "source"], "left").select(
-        "mix_id", "source", "weight", (F.col("weight") / F.sum("weight").over(each)).alias("target_share"), every.alias("tokens"), (every / F.sum(every).over(each)).alias("share"), F.coalesce("n_draws", F.lit(0)).alias("n_draws")
+        "mix_id", "source", "weight", F.try_divide(F.col("weight"), F.sum("weight").over(each)).alias("target_share"), every.alias("tokens"), F.coalesce(F.try_divide(every, F.sum(every).over(each)), F.lit(0.0)).alias("share"), F.coalesce("n_draws", F.lit(0)).alias("n_draws")
     )
     return draws, shares

@@ -115,7 +115,7 @@ def judge(word: str, own: Counter | None, corpus: Counter | None) -> tuple[bool,
     total = capital + small + figure + end
     single = len(word) == 1
     # the corpus lists words that end less often than others; a word that it doesn't list ends sentences
-    never_ends = bool(corpus) and end <= ENDS * total and total >= SEEN and (len(word) <= 5 or small + figure > capital)
+    never_ends = bool(corpus) and sum(corpus.values()) >= SEEN and end <= ENDS * total and (len(word) <= 5 or small + figure > capital)
     return (single and end <= max(1, 0.05 * total)) or never_ends, single or small > 0.2 * total or never_ends, figure > 0.3 * total or (single and figure > 0)
 
 

@@ -75,7 +75,7 @@ def split_oversized(df: DataFrame, keys: list[str], text: str = "text", limit: s
     negative overlap as 0, one of the limit or more as limit - 1. Repeated items give the same pieces each.
     Other columns are dropped. Only oversized items reach Python.
     """
-    long = df.where(F.char_length(text) > F.greatest(F.col(limit), F.lit(1))).select(*keys, F.col(text).alias("_text"), F.col(limit).alias("_limit"), F.coalesce(F.col(overlap), F.lit(0)).alias("_overlap"))
+    long = df.where(F.col(limit).isNotNull() & (F.char_length(text) > F.greatest(F.col(limit), F.lit(1)))).select(*keys, F.col(text).alias("_text"), F.col(limit).alias("_limit"), F.coalesce(F.col(overlap), F.lit(0)).alias("_overlap"))
     schema = long.select(*keys).schema.add("piece_no", "integer").add("start_pos", "integer").add("end_pos", "integer")
     if with_text:
         schema = schema.add("piece", "string")

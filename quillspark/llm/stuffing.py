@@ -74,11 +74,14 @@ def covered(texts: list[str]) -> float:
 
 
 def monotonous(sentences: list[str]) -> bool:
-    """Whether sentences are strung together from the same few phrases."""
-    phrases = Counter(p.strip(_EDGES).lower() for s in sentences for p in _PART.split(joined(s)))
-    phrases.pop("", None)
+    """Whether sentences are strung together from the same few phrases, in any order; a drill keeps the order."""
+    parts = [[q for p in _PART.split(joined(s)) if (q := p.strip(_EDGES).lower())] for s in sentences]
+    phrases = Counter(p for ps in parts for p in ps)
     total = sum(phrases.values())
-    return total >= 4 and sum(n for _, n in phrases.most_common(FEW) if n >= REPEATED) >= MONOTONOUS * total
+    if total < 4 or sum(n for _, n in phrases.most_common(FEW) if n >= REPEATED) < MONOTONOUS * total:
+        return False
+    pairs = {(a, b) for ps in parts for a, b in zip(ps, ps[1:], strict=False)}
+    return any((b, a) in pairs for a, b in pairs) or len(pairs) >= 1.5 * len(phrases)
 
 
 def units(text: str) -> Iterator[tuple[str, str]]:
