@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.audio import HEADER
 from .incremental import text_hash
+from .joins import join_small
 
 CHAPTER = "struct<index:bigint,title:string,text_hash:string,paragraphs:bigint,output:string,status:string>"
 SCHEMA = f"tool string, created_at string, book_id string, source string, title string, chapters array<{CHAPTER}>"
@@ -31,12 +32,24 @@ def book_manifests(rows: DataFrame, books: DataFrame, created_at: Column | None
     return joined.select(F.lit(tool).alias("tool"), at.alias("created_at"), "book_id", "source", "title", F.coalesce("chapters", F.array().cast(f"array<{CHAPTER}>")).alias("chapters"))
 
 
+#: Spine items that one task numbers at a time.
+STRETCH = 1024
+
+
 def positions(chapters: DataFrame, index: str = "spine_index") -> DataFrame:
-    """``chapters`` with ordinal (dense, from 0), n_chapters and percent of each in its book."""
-    order = Window.partitionBy("book_id").orderBy(index)
-    whole = Window.partitionBy("book_id")
-    at = F.row_number().over(order)
-    rows = chapters.withColumn("ordinal", at - 1).withColumn("n_chapters", F.count(F.lit(1)).over(whole))
+    """``chapters`` with ordinal (dense, from 0), n_chapters and percent of each in its book.
+
+    Only keys are ordered, in stretches of the index, so neither a book with a third of all chapters nor any text
+    comes together in one task. The index is unique within a book.
+    """
+    keys = chapters.select("book_id", index, F.floor(F.col(index) / STRETCH).alias("_part"))
+    sizes = keys.groupBy("book_id", "_part").agg(F.count("*").alias("_n"))
+    parts = Window.partitionBy("book_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("book_id", "_part", F.coalesce(F.sum("_n").over(parts), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("book_id")).alias("n_chapters"))
+    inside = F.row_number().over(Window.partitionBy("book_id", "_part").orderBy(index))
+    at = (F.col("_before") + F.col("_row") - 1).cast("int")
+    numbered = keys.withColumn("_row", inside).join(before, ["book_id", "_part"]).select("book_id", index, at.alias("ordinal"), "n_chapters")
+    rows = join_small(chapters.drop("ordinal", "n_chapters", "percent"), numbered, ["book_id", index])
     return rows.withColumn("percent", F.round(F.lit(100.0) * (F.col("ordinal") + 1) / F.col("n_chapters")).cast("int"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.audio import PAUSE_MS, chapter_samples
 from ..functions.titles import choose_title, wav_path
 from ..operators import manifest as m
+from ..operators.joins import join_small
 from ..operators.segment import MAX_CHARS, with_chunks
 from ..operators.speech import synthesize_chapters
 
@@ -27,7 +28,7 @@ def current(chapters: DataFrame) -> DataFrame:
     """
     order = F.struct(F.coalesce(F.col("loaded_at"), F.lit("0001-01-01").cast("timestamp")).alias("at"), F.col("chapter_id").alias("id"))
     last = chapters.groupBy("book_id", "spine_index").agg(F.max(order).alias("o")).select(F.col("o.id").alias("chapter_id"))
-    return chapters.join(last, "chapter_id", "left_semi")
+    return join_small(chapters, last, ["chapter_id"], "left_semi")
 
 
 def inspect(chapters: DataFrame, limit: int | Column = MAX_CHARS, numbers: bool | Column = True) -> DataFrame:

@@ -157,3 +157,22 @@ def test_failed_chapter_goes_on(spark):
         speech.chapter_audio(Broken(), ["坏"])
     del pd, speech.ENGINES["broken"]
     assert speech.synthesize_chapters(df, ["i"], engine="tone", sample_rate=100).count() == 3
+
+
+def test_command_line(tmp_path, capsys, spark):
+    from quillspark.cli import main
+
+    book(tmp_path)
+    path, out = f"file://{tmp_path}", str(tmp_path / "cli")
+    assert main(["convert", path, "--out", out, "--sample-rate", "1000", "--jobs", "2"]) == 0
+    assert capsys.readouterr().out.startswith("[1/3 33%] done Start (")
+    main(["convert", path, "--out", out, "--sample-rate", "1000", "--resume"])
+    assert capsys.readouterr().out.strip() == "[3/3 100%] done gone (0.0s)"
+    main(["inspect", path])
+    assert "[001] Start | paragraphs: 1 | chunks: 1" in capsys.readouterr().out
+    main(["dump-opf", path])
+    assert "spine: 4" in capsys.readouterr().out
+    main(["debug-spine", path])
+    assert "[01] idref=nowhere missing in resources" in capsys.readouterr().out
+    main(["list-zip", path, "--head", "1"])
+    assert capsys.readouterr().out.startswith("[0000] gone | path=OPS/gone.xhtml")
