@@ -19,6 +19,9 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     """
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns[:4], F.monotonically_increasing_id()), F.lit(SALTS)))
+    # from the row's own values, so that a task that runs again makes the same choice
+    plain = [c for c, kind in big.dtypes if not kind.startswith(("map", "array", "struct"))]
+    numbers = [c for c, kind in big.dtypes if kind in ("int", "bigint") and c not in on]
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*(numbers or plain)), F.lit(SALTS)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
