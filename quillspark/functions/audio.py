@@ -17,6 +17,8 @@ PEAK, MAX_GAIN = 0.98, 3.0
 TONE_MS, TONE_CHARS = 20, 200
 # The voice taken when none is named, by model generation.
 DEFAULT_VOICES = {"v1.0": "zf_xiaoxiao", "v1.1": "zf_048"}
+# The speed of the fast preset, by model generation.
+FAST = {"v1.0": 1.2, "v1.1": 2.0}
 
 
 def silence(rate: int, ms: int) -> Column:
@@ -75,14 +77,28 @@ def finish_samples(signal: Column, rate: int) -> Column:
     return bound(doubles, lambda x: bound(mean(x), lambda m: bound(centred(x, m), lambda c: bound(gain(c), lambda g: shape(c, g)))))
 
 
-def parse_voice(spec: Column, generation: str = "v1.0") -> Column:
-    """struct<voice, speed> of name[@speed]: names in small letters, - as _, no blanks; blank and auto the default."""
+def parse_voice(spec: Column, generation: str = "v1.0", preset: str = "") -> Column:
+    """struct<voice, speed> of name[@speed]: names in small letters, - as _, no blanks; blank and auto the default.
+
+    Without a speed that can be read it is 1, or the faster one of the preset 'speed'.
+    """
     name = F.regexp_replace(F.translate(F.lower(F.trim(F.substring_index(spec, "@", 1))), "-", "_"), " ", "")
     voice = F.when(name.isin("", "auto") | name.isNull(), F.lit(DEFAULT_VOICES[generation])).otherwise(name)
     after = F.when(F.instr(spec, "@") > 0, F.trim(F.regexp_extract(spec, "^[^@]*@(.*)$", 1)))
     speed = after.try_cast("double") if generation == "v1.0" else after.try_cast("int").cast("double")
     whole = F.lit(True) if generation == "v1.0" else after.rlike("^[+-]?[0-9]+$")
-    return F.struct(voice.alias("voice"), F.coalesce(F.when(whole, speed), F.lit(1.0)).alias("speed"))
+    return F.struct(voice.alias("voice"), F.coalesce(F.when(whole, speed), F.lit(FAST[generation] if preset == "speed" else 1.0)).alias("speed"))
+
+
+def voice_style(packs: Column, voice: Column, tokens: Column, default: str | None = None) -> Column:
+    """The style of a voice for a text of so many tokens, from map<voice, array<array<array<float>>>>.
+
+    Longer texts than there are rows take the last row. An unknown voice takes the default, else null.
+    """
+    pack = F.try_element_at(packs, voice)
+    if default is not None:
+        pack = F.coalesce(pack, F.try_element_at(packs, F.lit(default)))
+    return bound(pack, lambda rows: F.get(F.get(rows, F.greatest(F.least(tokens, F.size(rows)), F.lit(1)) - 1), 0))
 
 
 def percent(position: Column, total: Column) -> Column:

@@ -88,6 +88,10 @@ def test_voices(spark):
     df = spark.createDataFrame([("auto",), ("ZF-Xiao Xiao@1.5",), ("",), ("zf_001@x",), (None,)], "s string")
     assert [tuple(r[0]) for r in df.select(audio.parse_voice(F.col("s"))).collect()] == [("zf_xiaoxiao", 1.0), ("zf_xiaoxiao", 1.5), ("zf_xiaoxiao", 1.0), ("zf_001", 1.0), ("zf_xiaoxiao", 1.0)]
     assert tuple(df.select(audio.parse_voice(F.col("s"), "v1.1")).collect()[2][0]) == ("zf_048", 1.0)
+    assert [r[0][1] for r in df.select(audio.parse_voice(F.col("s"), preset="speed")).collect()] == [1.2, 1.5, 1.2, 1.2, 1.2]
+    packs = F.create_map(F.lit("a"), F.array(F.array(F.array(F.lit(1.0))), F.array(F.array(F.lit(2.0)))))
+    styles = [audio.voice_style(packs, F.lit(v), F.lit(n), d) for v, n, d in (("a", 1, None), ("a", 9, None), ("x", 0, "a"), ("x", 1, None))]
+    assert list(spark.range(1).select(*styles).first()) == [[1.0], [2.0], [1.0], None]
 
 
 def test_percent_and_files(spark):
@@ -176,3 +180,15 @@ def test_command_line(tmp_path, capsys, spark):
     assert "[01] idref=nowhere missing in resources" in capsys.readouterr().out
     main(["list-zip", path, "--head", "1"])
     assert capsys.readouterr().out.startswith("[0000] gone | path=OPS/gone.xhtml")
+
+
+def test_wav_sink(spark, tmp_path):
+    from quillspark.sources.wav import WavDataSource
+
+    spark.dataSource.register(WavDataSource)
+    rows = [("a/1.wav", np.arange(5, dtype="<i2").tobytes(), 100), ("b.wav", b"", 100), (None, b"", 1)]
+    spark.createDataFrame(rows, "path string, pcm binary, sample_rate int").write.format("wav").mode("append").option("folder", str(tmp_path)).save()
+    with wave.open(str(tmp_path / "a/1.wav")) as w:
+        assert w.getnframes() == 5 and w.getframerate() == 100
+    assert (tmp_path / "b.wav").stat().st_size == 44
+    assert not list(tmp_path.rglob("*.tmp"))
