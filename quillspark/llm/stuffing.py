@@ -40,6 +40,7 @@ _SENTENCE = re.compile(r"[^.!?。！？।؟…]*(?:[.!?。！？।؟…]+[\"'
 _END = re.compile(r"[.!?。！？।؟…][\"'”’»」』）)\]]*\s*$")
 _PART = re.compile(r"\s*(?:[,，、;；|/·•_~*+<>→♪★☆●■◆]+|\s[-–—]\s|\t|\s{2,})\s*")
 _SPACED = re.compile(r"(?<![^\W_])([⺀-鿿぀-ヿ가-힣\w](?:([ \-.*_])[⺀-鿿぀-ヿ가-힣\w])(?:\2[⺀-鿿぀-ヿ가-힣\w])+)(?![^\W_])")
+_SEPARATORS = re.compile(r"[,，、;；|/·•_→#:：\-–—]")
 _DIGITS = re.compile(r"\d+")
 _THAI = re.compile(r"[\u0E00-\u0E7F]")
 _EDGES = " \t.!?。！？।؟…\"'”’»」』）)]}（(“‘«「『"
@@ -118,12 +119,23 @@ def units(text: str) -> Iterator[tuple[str, str]]:
                     yield ("line" if len(pieces) < 2 else "phrases"), part
 
 
+def build(unit: str) -> str:
+    """How a unit is built: number of words, capitals (none, some words, all), separators."""
+    words = unit.split()
+    n = "1" if len(words) < 2 else "2" if len(words) < 3 else "5" if len(words) < 6 else "+"
+    first = sum(w[0].isupper() for w in words)
+    capitals = "X" if unit.isupper() else "A" if first * 2 > len(words) else "a"
+    return n + capitals + "".join(dict.fromkeys(_SEPARATORS.findall(unit)))[:3]
+
+
 def judge(text: str) -> tuple[float, str]:
-    """Share of the page's characters in harmful shapes, and the shapes with their shares."""
+    """Share of the page's characters in harmful shapes, and the largest groups of equal shape with their shares."""
     chars: Counter[str] = Counter()
+    groups: Counter[str] = Counter()
     held: dict[str, list[str]] = {}
     for shape, unit in units(text):
         chars[shape] += len(unit)
+        groups[f"{shape} {build(unit)}"] += len(unit)
         held.setdefault(shape, []).append(unit)
     numbers = [_DIGITS.findall(u) for u in held.get("list number", ())]
     if len(numbers) > 4 and len({n[k] for n in numbers for k in (0, -1)}) < len(numbers) / 2:  # the figures don't count anything
@@ -141,7 +153,7 @@ def judge(text: str) -> tuple[float, str]:
             bad += size
         if size2 and monotonous(posed):
             bad += size2
-    return bad / total, ", ".join(f"{s} {n / total:.2f}" for s, n in chars.most_common(4))
+    return bad / total, "; ".join(f"{s} {n / total:.2f}" for s, n in groups.most_common(4))
 
 
 def judge_pages(df: DataFrame, doc: str, text: str = "text") -> DataFrame:
