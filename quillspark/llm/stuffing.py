@@ -40,6 +40,7 @@ _SENTENCE = re.compile(r"[^.!?。！？।؟…]*(?:[.!?。！？।؟…]+[\"'
 _END = re.compile(r"[.!?。！？।؟…][\"'”’»」』）)\]]*\s*$")
 _PART = re.compile(r"\s*(?:[,，、;；|/·•_~*+<>→♪★☆●■◆]+|\s[-–—]\s|\t|\s{2,})\s*")
 _SPACED = re.compile(r"(?<![^\W_])([⺀-鿿぀-ヿ가-힣\w](?:([ \-.*_])[⺀-鿿぀-ヿ가-힣\w])(?:\2[⺀-鿿぀-ヿ가-힣\w])+)(?![^\W_])")
+_PROSE = ("sentence", "phrases ended")
 _SEPARATORS = re.compile(r"[,，、;；|/·•_→#:：\-–—]")
 _DIGITS = re.compile(r"\d+")
 _THAI = re.compile(r"[\u0E00-\u0E7F]")
@@ -135,7 +136,7 @@ def judge(text: str) -> tuple[float, str]:
     held: dict[str, list[str]] = {}
     for shape, unit in units(text):
         chars[shape] += len(unit)
-        groups[f"{shape} {build(unit)}"] += len(unit)
+        groups[shape if shape in _PROSE else f"{shape} {build(unit)}"] += len(unit)
         held.setdefault(shape, []).append(unit)
     numbers = [_DIGITS.findall(u) for u in held.get("list number", ())]
     if len(numbers) > 4 and len({n[k] for n in numbers for k in (0, -1)}) < len(numbers) / 2:  # the figures don't count anything
