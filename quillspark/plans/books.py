@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import audio
 from ..operators import manifest as m
 from ..operators.extract import extract_chapters
-from ..session import fresh_path, table
+from ..session import fresh_path, spread, table
 from ..sources import epub
 from ..streaming import folder
 from .pipeline import convert, current, inspect
@@ -92,7 +92,7 @@ def markup_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     body = F.array_join(F.transform("paragraphs", lambda p: F.concat(F.lit("<p>"), escape(p))), "")
     html = F.concat(F.lit("<html><head><title>"), escape(F.coalesce("title", F.lit(""))), F.lit("</title></head><body><h1>"), escape(F.coalesce("title", F.lit(""))), F.lit("</h1>"), body, F.lit("</body></html>"))
-    rows = extract_chapters(table(spark, sf_dir, "chapters").select("chapter_id", "item_id", html.alias("html")), "html", "item_id")
+    rows = extract_chapters(spread(table(spark, sf_dir, "chapters").select("chapter_id", "item_id", html.alias("html"))), "html", "item_id")
     return rows.select("chapter_id", F.posexplode("paragraphs").alias("para_no", "text"))
 
 

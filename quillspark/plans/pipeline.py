@@ -11,6 +11,7 @@ from ..operators import manifest as m
 from ..operators.joins import join_small
 from ..operators.segment import MAX_CHARS, with_chunks
 from ..operators.speech import synthesize_chapters
+from ..session import spread
 
 #: Characters per chunk by engine, where another number than the usual holds.
 ENGINE_CHARS = {"onnx": 80}
@@ -32,8 +33,8 @@ def current(chapters: DataFrame) -> DataFrame:
 
 
 def inspect(chapters: DataFrame, limit: int | Column = MAX_CHARS, numbers: bool | Column = True) -> DataFrame:
-    """Title, number of paragraphs and of chunks, and the length in samples of every chapter; nothing is shuffled."""
-    chunked = with_chunks(titled(chapters), "paragraphs", limit, numbers)
+    """Title, number of paragraphs and of chunks, and the length in samples of every chapter."""
+    chunked = with_chunks(titled(spread(chapters)), "paragraphs", limit, numbers)
     return chunked.select("book_id", "spine_index", "chapter_id", "title", F.size("paragraphs").alias("n_paragraphs"), F.size("chunks").alias("n_chunks"), chapter_samples(F.col("chunks")).alias("n_samples"))
 
 
@@ -61,8 +62,7 @@ def convert(
     if earlier is not None and files is not None:
         todo = m.pending(rows, m.done_rows(rows, files))
     work = named.join(todo.select("book_id", F.col("index").cast("int").alias("spine_index")), ["book_id", "spine_index"], "left_semi")
-    if jobs:
-        work = work.repartition(jobs)
+    work = work.repartition(jobs) if jobs else spread(work)
     chunked = with_chunks(work, "paragraphs", limit or ENGINE_CHARS.get(engine, MAX_CHARS), numbers)
     path = F.lit(None).cast("string")
     if folder:
