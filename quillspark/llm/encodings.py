@@ -33,7 +33,8 @@ UNIGRAMS = 0x20000
 #: Weight of the unigram distribution, as a share of the corpus: a context seen less often is not trusted, and so
 #: damage that is regular in itself doesn't look natural.
 TRUST = 1e-3
-#: A text is examined where four bigrams in a row are less likely than this, in nats.
+#: A text is examined where four bigrams in a row are less likely than this, in nats; a shorter one where all of its
+#: bigrams together are less likely than their share of it.
 STRANGE = -26.0
 #: ... or where a letter is followed by a sign beyond ASCII less likely than this.
 ALIEN = -9.0
@@ -212,6 +213,15 @@ def strange(cps: np.ndarray, starts: np.ndarray, model: Model) -> tuple[np.ndarr
     window[: max(0, len(cps) - 3)] = score[4:] - score[:-4]
     window[: max(0, len(cps) - 3)][row[3:] != row[:-3]] = 0
     odd = (window < STRANGE) | signed(cps, row)
+    # a text too short for a window is one itself; a line feed that ends it doesn't count
+    size = np.diff(starts)
+    size[size > 0] -= cps[starts[1:][size > 0] - 1] == 10
+    brief = np.flatnonzero((size > 0) & (size < 4))
+    brief = brief[score[(starts[:-1] + size)[brief]] - score[starts[:-1][brief]] < STRANGE / 4 * size[brief]]
+    if len(brief):
+        short = np.zeros(n, bool)
+        short[brief] = True
+        odd |= short[row] & (cps > 0x7F)
     # a letter and a sign that never go together, within a word
     rare = (each < ALIEN) & (cps >= 0x80) & (cps < 0x2600)
     rare[1:] &= (_kinds()[np.minimum(cps[:-1], 0xFFFF)] & 4) > 0
@@ -337,7 +347,7 @@ def explain(texts: list[np.ndarray], model: Model, keep: int = KEEP) -> list[lis
     # an unlikely stretch is four characters long
     wide = odd.copy()
     for k in (1, 2, 3):
-        wide[k:] |= odd[:-k]
+        wide[k:] |= odd[:-k] & (row[k:] == row[:-k])
     wide &= (cps > 0x7F) & (cps != LOST)
     total = np.bincount(row[wide], minlength=len(texts))
     small = np.minimum(cps, 0xFFFF)

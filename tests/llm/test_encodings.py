@@ -80,3 +80,24 @@ def test_prior_pools_weak_evidence(spark):
     totals = spark.createDataFrame([("p", "a", 100), ("p", "b", 100_000)], "place string, source string, n long")
     post = {(r.source, r.row_id): r.posterior for r in X.posterior(found, totals).collect()}
     assert post["a", 900] > 0.9 > 0.5 > post["b", 900]
+
+
+def test_short_texts(spark):
+    wrong = lambda s, right, read: s.encode(right).decode(read)
+    # 渡口 read as gbk has three characters, as big5 two
+    titles = ["西河沿", "上河沿", "渡口", "账本", "———", "雨"]
+    clean = [("t", "s", i, [t]) for i, t in enumerate([*titles, *(t for ts in CLEAN.values() for t in ts)] * 40)]
+    long = [("t", "s", 8000 + i, [wrong(t, "gbk", "big5")]) for i, t in enumerate(["他们走了很远", "才望见河边的村庄", "信上只有一行字"] * 4)]
+    bad = {9000: wrong("西河沿", "gbk", "big5"), 9001: wrong("上河沿", "gbk", "big5"), 9002: "〞〞〞", 9003: wrong("渡口", "utf-8", "gbk"), 9004: wrong("渡口", "gbk", "big5")}
+    assert [len(t) for t in bad.values()] == [3, 3, 3, 3, 2]
+    df = spark.createDataFrame([*clean, *long, *(("t", "s", i, [t]) for i, t in bad.items())], "place string, source string, row_id long, texts array<string>")
+    model = X.corpus_model(df.where("row_id < 8000"))  # in so small a corpus three signs would teach it
+    got = {r.row_id: r.repaired for r in X.repair(df, model).collect() if not 8000 <= r.row_id < 9000}
+    assert got == {9000: "西河沿", 9001: "上河沿", 9002: "———", 9003: "渡口", 9004: "渡口"}
+
+
+def test_a_short_text_leaves_its_neighbours(model):
+    texts = [codepoints(pa.array([t]))[0].copy() for t in ("昹碩朓", "雨从早上", "昹碩", CLEAN["zh"][0])]
+    for cps, starts in (X._marked(texts), codepoints(pa.array(["昹碩朓", "雨从早上", "昹碩", CLEAN["zh"][0]]))):
+        odd, row = X.strange(cps, starts, model)
+        assert set(row[odd]) == {0, 2}
