@@ -55,6 +55,12 @@ def last_soft_break(s: Column) -> Column:
     return F.when(head > 0, head)
 
 
+def soft_pieces(s: Column, n: int) -> Column:
+    """The whole text in pieces: while n characters or more are left, up to the last soft break within the next n,
+    else n of them; then what is left. Nothing is trimmed; an empty text has no pieces."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=.{{{n}}})(?:.{{0,{n - 1}}}[{SOFT_BREAKS}]|.{{{n}}})|.+"), F.lit(0))
+
+
 def leading(s: Column, n: int) -> Column:
     return F.substring(s, 1, n)
 

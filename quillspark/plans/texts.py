@@ -25,12 +25,22 @@ def punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def soft_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the last soft break among the first 160 characters is, and the text before it."""
+    """Where the last soft break among the first 160 characters is, and the text before it; the first window only, as
+    its SQL has it, see ``soft_break_pieces`` for the whole text."""
     head = text.leading(F.col("text"), 160)
     at = text.last_soft_break(head)
     return _documents(spark, sf_dir, position=at, before=text.split_at(head, F.coalesce(at, F.lit(160)))[0])
 
 
+def soft_break_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of the whole text, as the cutting of overlong sentences goes on: the piece and where its soft
+    break is, null if it was cut at 160 characters or is the rest. Empty and null texts have no rows."""
+    pieces = _documents(spark, sf_dir, p=text.soft_pieces(F.col("text"), 160)).select("doc_id", F.size("p").alias("n"), F.posexplode("p").alias("no", "piece"))
+    size = F.char_length("piece")
+    soft = F.right("piece", F.lit(1)).isin(*text.SOFT_BREAKS) & ((F.col("no") < F.col("n") - 1) | (size == 160))
+    return pieces.select("doc_id", "no", F.when(soft, size).alias("position"), "piece")
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir, s=text.split_sentences(F.col("text"))).select("doc_id", F.posexplode("s").alias("no", "sentence"))
 
@@ -104,7 +114,7 @@ def _clean(s: str) -> str:
 _ALNUM = r"\p{L}\p{N}\x{5B0}-\x{5BD}\x{5BF}\x{5C1}\x{5C2}\x{5C4}\x{5C5}\x{5C7}\x{610}-\x{61A}\x{64B}-\x{657}\x{659}-\x{65F}\x{670}\x{6D6}-\x{6DC}\x{6E1}-\x{6E4}\x{6E7}\x{6E8}\x{6ED}\x{900}-\x{903}\x{93A}\x{93B}\x{93E}-\x{94C}\x{94E}\x{94F}\x{955}-\x{957}\x{962}\x{963}\x{E31}\x{E34}-\x{E3A}\x{E4D}\x{24B6}-\x{24E9}\x{345}"
 
 QUERIES = {
-    "normalize_whitespace": whitespace, "widen_punctuation": punctuation, "soft_breaks": soft_breaks, "split_sentences": sentences, "compatibility_form": compatibility_form,
+    "normalize_whitespace": whitespace, "widen_punctuation": punctuation, "soft_breaks": soft_breaks, "soft_break_pieces": soft_break_pieces, "split_sentences": sentences, "compatibility_form": compatibility_form,
     "number_to_zh": numbers, "convert_numbers": numbers_in_text, "chapter_titles": chapter_titles, "safe_names": names,
 }
 ORACLES = {

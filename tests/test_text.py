@@ -69,6 +69,33 @@ def test_soft_break(spark):
     assert column(spark, ["a，b、c", "abc", "a\n,b"], text.last_soft_break) == [4, None, 3]
 
 
+def brute_pieces(s, n=160):
+    out, current = [], ""
+    for c in s:
+        current += c
+        if len(current) == n:
+            at = max((i + 1 for i, x in enumerate(current) if x in "，,、；;：:"), default=None)
+            out.append((at, current[: at or n]))
+            current = current[at or n :]
+    return out + ([(None, current)] if current else [])
+
+
+def test_soft_breaks_of_whole_texts(spark, tmp_path):
+    from quillspark.plans import texts
+
+    rng = random.Random(2)
+    docs = ["", "a,b", "x" * 159 + ",", "x" * 160 + ",", "x" * 159 + ",\n", "y" * 1000, "，" * 500, "𝒳" * 200 + "：" + "é" * 300]
+    docs += ["".join(rng.choice("字a \n𝒳" * 8 + ",，:；" * (k % 3)) for _ in range(rng.randint(1, 3000))) for k in range(40)]
+    docs.append("".join(rng.choice("字a，" + "b" * 200) for _ in range(50_000)))
+    df = spark.createDataFrame([*enumerate(docs), (len(docs), None)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.no, r.position, r.piece) for r in texts.QUERIES["soft_break_pieces"](spark, str(tmp_path)).collect())
+    assert got == [(i, k, at, piece) for i, d in enumerate(docs) for k, (at, piece) in enumerate(brute_pieces(d))]
+    for r in texts.soft_breaks(spark, str(tmp_path)).collect():  # the first window is that of soft_breaks
+        if r.doc_id < len(docs) and len(docs[r.doc_id]) >= 160:
+            assert brute_pieces(docs[r.doc_id])[0] == (r.position, r.before)
+
+
 def test_titles(spark):
     rows = [("Intro", "id5", ["x"]), ("UNKNOWN", "id5", ["x"]), ("未知", "chapter", ["。你好，世界："]), ("", None, []), (" Untitled ", " ", ["  "]), (None, None, None)]
     df = spark.createDataFrame(rows, "t string, i string, p array<string>")
