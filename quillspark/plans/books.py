@@ -128,8 +128,8 @@ def inspect_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def convert_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All current chapters narrated by the tone engine at a low rate; nothing is written."""
-    results, _ = convert(_current(spark, sf_dir), engine="tone", sample_rate=200)
+    """All current chapters narrated by the tone engine at its usual rate; nothing is written."""
+    results, _ = convert(_current(spark, sf_dir), engine="tone")
     return results.select("book_id", "index", "n_samples", "status")
 
 

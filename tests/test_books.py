@@ -192,3 +192,14 @@ def test_wav_sink(spark, tmp_path):
         assert w.getnframes() == 5 and w.getframerate() == 100
     assert (tmp_path / "b.wav").stat().st_size == 44
     assert not list(tmp_path.rglob("*.tmp"))
+
+
+def test_convert_query_has_the_usual_rate(spark, tmp_path):
+    from quillspark.plans import books
+
+    rows = [(1, "b", 0, "One", "i", ["你好。", "x" * 200]), (2, "b", 1, "Two", "i", [])]
+    schema = "chapter_id long, book_id string, spine_index int, title string, item_id string, paragraphs array<string>"
+    spark.createDataFrame(rows, schema).withColumn("loaded_at", F.current_timestamp()).write.parquet(f"{tmp_path}/chapters.parquet")
+    got = {r["index"]: (r.n_samples, r.status) for r in books.convert_chapters(spark, str(tmp_path)).collect()}
+    # 480 samples a character; chunks of 3, 160 and 40 characters and two pauses of 150 ms
+    assert got == {0: (480 * 203 + 2 * 3600, "done"), 1: (0, "done")}
