@@ -47,8 +47,7 @@ RAGGED = 14.0
 #: Gains below this many nats aren't evidence; lost characters alone count as so much.
 LEAST = 2.0
 LOST_GAIN = 30.0
-#: Rounds of undoing for texts that went through several chains or through one in several places.
-ROUNDS = 5
+#: Texts that went through several chains or through one in several places are undone again while a stretch gains this.
 AGAIN = 7.0
 KNOWN = 3.0
 #: Chains kept as evidence for each text.
@@ -384,9 +383,7 @@ def evidence_of(texts: list[np.ndarray], model: Model) -> list[list[tuple[float,
     first = explain(texts, model)
     again = [i for i, f in enumerate(first) if f and f[0][0] > AGAIN]
     state = {i: first[i][0] for i in again}
-    for _ in range(ROUNDS - 1):
-        if not again:
-            break
+    while again:  # it ends: every round adds more than KNOWN to the text's likelihood, which is bounded
         odd, row = strange(*_marked([state[i][2] for i in again]), model)
         again = [again[k] for k in np.flatnonzero(np.bincount(row[odd], minlength=len(again)))]
         more = explain([state[i][2] for i in again], model) if again else []

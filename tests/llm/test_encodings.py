@@ -52,6 +52,12 @@ def test_twice_wrong(model):
         assert best(wrong(wrong(t)), model)[2] == t
 
 
+def test_many_places(model):
+    wrong = lambda s: s.encode().decode("cp1251")
+    ru = CLEAN["ru"]
+    assert best(" ".join(f"{ru[k % 2]} {wrong('фонарь')}" for k in range(12)), model)[2] == " ".join(f"{ru[k % 2]} фонарь" for k in range(12))
+
+
 def test_clean_texts_stay(model):
     odd = ["CHÂTEAU-BLEU", "SÃO-LIRA", "Ðorvald Ãsberg", "", "铜锟剑", "ｱ", "①②③", "​", "x" * 50_000]
     for t in [t for ts in CLEAN.values() for t in ts] + odd:
