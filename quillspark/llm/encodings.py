@@ -14,13 +14,14 @@ and the best stretch of every text is a running minimum over the whole batch.
 
 from __future__ import annotations
 
+import codecs
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_small
@@ -42,20 +43,31 @@ ALIEN = -9.0
 FLOOR = -8.0
 ESCAPE = -11.0
 LOST = 0xFFFD
+#: A lost character says nothing about which chain it was.
+NEUTRAL = -4.0
+#: The chain of texts that lost characters and show nothing else.
+UNKNOWN = "lost"
 #: Cost of a stretch that ends next to a letter which the wrong encoding has as well and which makes no sense.
 RAGGED = 14.0
-#: Gains below this many nats aren't evidence; lost characters alone count as so much.
-LEAST = 2.0
-LOST_GAIN = 30.0
-#: Texts that went through several chains or through one in several places are undone again while a stretch gains this.
+#: Gains below this many nats aren't evidence.
+LEAST = 1.0
+#: Log-ratio of a lost character under any chain to one in a sound text. It is the same for all chains, the unknown
+#: one ("lost") among them, so what can be told from the rest of the text decides between them.
+LOST_GAIN = 11.0
+#: What a further stretch of the same chain must gain in the same text.
+PRICE = 5.0
+#: Texts that went through a chain twice are undone again while that gains so much; a repair beside lost characters
+#: must gain the first.
 AGAIN = 7.0
 KNOWN = 3.0
-#: Chains kept as evidence for each text.
-KEEP = 3
+#: A chain so many nats behind another of the same text weighs nothing: priors differ by less than half of that.
+BEHIND = 40.0
 #: Prior: share of damaged texts, and how many texts' weight the whole corpus has in each source's prior.
 DAMAGED = 0.01
 WEIGHT = 100.0
-ITERATIONS = 3
+#: EM ends once a round moves less than this share of the damaged texts between chains, at the latest after so many.
+MOVED = 0.002
+ITERATIONS = 30
 
 SINGLE = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "koi8-r", "cp866", "cp437", "cp850", "mac-roman", "cp874")
 FOREIGN = ("cp1251", "koi8-r", "cp866", "cp874", "cp1256")
@@ -228,24 +240,62 @@ def strange(cps: np.ndarray, starts: np.ndarray, model: Model) -> tuple[np.ndarr
     return odd, row
 
 
+@functools.cache
+def _size_table(right: str) -> np.ndarray:
+    """Bytes of each character below 65,536 in a double-byte encoding."""
+    size = np.ones(0x10000, np.int64)
+    for cp in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+        try:
+            size[cp] = len(chr(cp).encode(right))
+        except UnicodeEncodeError:
+            size[cp] = 2
+    return size
+
+
 def _sizes(cps: np.ndarray, right: str) -> np.ndarray:
     """Bytes that each decoded character came from."""
-    size = np.ones(len(cps), np.int64)
     if right == "utf-8":
-        size += (cps > 0x7F).astype(np.int64) + (cps > 0x7FF) + (cps > 0xFFFF)
-    elif right in DOUBLE:
-        size += cps > 0x7F
-        if right == "cp932":
-            size[((cps >= 0xFF61) & (cps <= 0xFF9F)) | (cps == 0x80) | (cps == 0xA0) | ((cps >= 0xF8F0) & (cps <= 0xF8F3))] = 1
+        size = np.ones(len(cps), np.int64) + (cps > 0x7F) + (cps > 0x7FF) + (cps > 0xFFFF)
+    else:
+        size = _size_table(right)[np.minimum(cps, 0xFFFF)]
     size[(cps >= 0xDC80) & (cps <= 0xDCFF)] = 1
     return size
 
 
-def undo(cps: np.ndarray, starts: np.ndarray, own: np.ndarray, chain: tuple[str, str], model: Model):
-    """Undo a chain everywhere. Per text: the gain of the best stretch, its ends in characters before and after.
+def _sizes_exactly(raw: bytes, right: str) -> np.ndarray:
+    """As ``_sizes`` where an encoding has several byte sequences for a character: byte by byte."""
+    decoder = codecs.getincrementaldecoder(right)("surrogateescape")
+    sizes, begun = [], 0
+    for k in range(len(raw)):
+        got = decoder.decode(raw[k : k + 1], k == len(raw) - 1)
+        if got:
+            # of several characters at once all but the last are single escaped bytes
+            sizes += [1] * (len(got) - 1) + [k + 1 - begun - (len(got) - 1)]
+            begun = k + 1
+    return np.array(sizes, np.int64)
+
+
+@dataclass(frozen=True)
+class Undone:
+    """A chain undone over a batch. Spots are where characters begin both before and after; for each spot ``before``
+    and ``after`` are the positions and ``gain`` is the likelihood gained up to it. Text k has spots
+    first[k] to first[k + 1]; ``best`` is its best single stretch's gain, from spot ``begin`` to ``end``."""
+
+    best: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    gain: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    first: np.ndarray
+    out: np.ndarray
+
+
+def undo(cps: np.ndarray, starts: np.ndarray, own: np.ndarray, chain: tuple[str, str], model: Model) -> Undone:
+    """Undo a chain everywhere.
 
     ``own`` is the cumulated likelihood of the texts as they are. The texts must not hold line feeds but end
-    with one each. Returns (gain, from, to, from2, to2, cps2), the last being all texts decoded.
+    with one each. What the wrong encoding doesn't have, and bytes that don't decode, come out as 0xDC80-0xDCFF.
     """
     right, wrong = chain
     size, one, two = encoder(wrong)
@@ -263,16 +313,13 @@ def undo(cps: np.ndarray, starts: np.ndarray, own: np.ndarray, chain: tuple[str,
         out[at[:-1][none]] = 0xDCFF
         at2 = np.arange(len(raw) + 1)
     else:
-        out = np.frombuffer(raw.tobytes().decode(right, "surrogateescape").encode("utf-32-le", "surrogatepass"), "<u4")
-        at2 = np.concatenate([[0], np.cumsum(_sizes(out, right))])
-        if right == "euc-jp" and at2[-1] != len(raw):
-            at2 = _align_euc(out, raw)
-    if at2[-1] != len(raw):
-        return None
-    ends2 = np.flatnonzero(out == 10) + 1
-    if len(ends2) != len(starts) - 1:
-        return None
-    starts2 = np.concatenate([[0], ends2])
+        out = np.frombuffer(raw.tobytes().decode(right, "surrogateescape").encode("utf-32-le", "surrogatepass"), "<u4").copy()
+        sizes = _sizes(out, right)
+        if sizes.sum() != len(raw):
+            sizes = _sizes_exactly(raw.tobytes(), right)
+        at2 = np.concatenate([[0], np.cumsum(sizes)])
+        out[out == 0xF8F3] = 0xDCFF  # what one of the decoders makes of the byte 0xFF
+    starts2 = np.searchsorted(at2, at[starts])
     ll = model.likelihood(out, starts2)
     ll[(out >= 0xDC80) & (out <= 0xDCFF)] = ESCAPE
     ll[(out >= 0x80) & (out < 0xA0)] = ESCAPE
@@ -280,38 +327,75 @@ def undo(cps: np.ndarray, starts: np.ndarray, own: np.ndarray, chain: tuple[str,
     if right in FOREIGN and len(out) > 1:  # words of two scripts
         plain, other = (out < 0x80) & ((out | 0x20) >= 0x61) & ((out | 0x20) <= 0x7A), out >= 0x370
         ll[1:][(plain[:-1] & other[1:]) | (other[:-1] & plain[1:])] = ESCAPE
+    lost = np.flatnonzero(cps == LOST)
+    ll[np.searchsorted(at2, at[lost])] = NEUTRAL
     new = np.concatenate([[0], np.cumsum(ll, dtype=np.float64)])
-    both = np.zeros(len(raw) + 1, np.int8)
-    both[at] += 1
-    both[at2] += 1
-    spots = np.flatnonzero(both == 2)
-    place = np.zeros(len(raw) + 1, np.int64)
-    place[at] = np.arange(len(at))
-    i = place[spots]
+    place = np.full(len(raw) + 1, -1, np.int64)
     place[at2] = np.arange(len(at2))
-    j = place[spots]
-    text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, starts[-1] + 1)))[i]
-    gain = new[j] - own[i] - 1e6 * text
-    low = np.minimum.accumulate(gain)
-    here = np.maximum.accumulate(np.where(gain <= low, np.arange(len(gain)), 0))
-    rise = gain - low
-    n = len(starts) - 1
-    first = np.searchsorted(text, np.arange(n))
-    best = np.maximum.reduceat(rise, first)
-    top = np.flatnonzero(rise == best[np.minimum(text, n - 1)])
-    end = np.zeros(n, np.int64)
-    end[text[top][::-1][text[top][::-1] < n]] = top[::-1][text[top][::-1] < n]
-    begin = here[end]
-    return best, i[begin], i[end], j[begin], j[end], out
+    after = place[at]
+    before = np.flatnonzero(after >= 0)
+    after = after[before]
+    # the end of a text is the start of the next
+    first = np.searchsorted(before, starts)
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(first))
+    gain = new[after] - own[before]
+    each = gain[:-1] - 1e6 * text
+    low = np.minimum.accumulate(each)
+    here = np.maximum.accumulate(np.where(each <= low, np.arange(len(each)), 0))
+    rise = each - low
+    best = np.maximum.reduceat(rise, first[:-1])
+    top = np.flatnonzero(rise == best[text])[::-1]
+    end = np.zeros(len(starts) - 1, np.int64)
+    end[text[top]] = top
+    return Undone(best, here[end], end, gain, before, after, first, out)
+
+
+def stretches(gain: list[float], price: float) -> list[tuple[int, int]]:
+    """The disjoint stretches (from, to) with the greatest sum of gains, each of which costs ``price``.
+
+    ``gain`` is cumulated. One opens where the gain has risen by more than the price since its low, and closes at
+    its high once it has fallen by more than that.
+    """
+    out: list[tuple[int, int]] = []
+    low = high = 0
+    inside = False
+    for k, g in enumerate(gain):
+        if inside:
+            if g > gain[high]:
+                high = k
+            elif gain[high] - g > price:
+                out.append((low, high))
+                inside, low = False, k
+        elif g < gain[low]:
+            low = k
+        elif g - gain[low] > price:
+            inside, high = True, k
+    if inside:
+        out.append((low, high))
+    return out
 
 
-def _align_euc(out: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Byte offsets of characters decoded from EUC-JP where some take three bytes."""
-    at, k = [0], 0
-    for cp in out.tolist():
-        k += 1 if cp < 0x80 or 0xDC80 <= cp <= 0xDCFF else 3 if k < len(raw) and raw[k] == 0x8F else 2
-        at.append(k)
-    return np.array(at)
+def _written(u: Undone, a: int, b: int, cps: np.ndarray) -> np.ndarray:
+    """The stretch from spot ``a`` to ``b`` undone. Where bytes make no character the text stays as it was, but next
+    to characters lost before: there a run of such bytes is one lost character."""
+    new = u.out[u.after[a] : u.after[b]]
+    bad = (new >= 0xDC80) & (new <= 0xDCFF)
+    if not bad.any():
+        return new
+    broken = np.add.reduceat(bad, u.after[a:b] - u.after[a]) > 0
+    edges = np.flatnonzero(np.diff(broken)) + 1
+    parts = []
+    for x, y in zip([0, *edges.tolist()], [*edges.tolist(), b - a], strict=True):
+        if not broken[x]:
+            parts.append(u.out[u.after[a + x] : u.after[a + y]])
+            continue
+        old = cps[u.before[a + x] : u.before[a + y]]
+        if (old == LOST).any():
+            part = u.out[u.after[a + x] : u.after[a + y]]
+            part = np.where((part >= 0xDC80) & (part <= 0xDCFF), LOST, part).astype(np.uint32)
+            old = part[np.concatenate([[True], (part[1:] != LOST) | (part[:-1] != LOST)])]
+        parts.append(old)
+    return np.concatenate(parts)
 
 
 @functools.cache
@@ -320,8 +404,7 @@ def decode_single_cached(name: str) -> np.ndarray:
 
 
 def text_of(cps: np.ndarray) -> str:
-    """A decoded stretch as a string; bytes that stayed undecodable are lost characters."""
-    cps = np.where((cps >= 0xD800) & (cps < 0xE000), LOST, cps)
+    """Code points as a string."""
     return cps.astype("<u4").tobytes().decode("utf-32-le")
 
 
@@ -335,86 +418,121 @@ def _marked(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _FEED = np.array([10], np.uint32)
+Found = tuple[float, str, np.ndarray]
+
 
+def explain(texts: list[np.ndarray], model: Model, rights: list[set[str]] | None = None) -> list[list[Found]]:
+    """For each text every chain with evidence for it, best first: (gain, chain, text with its stretches undone).
 
-def explain(texts: list[np.ndarray], model: Model, keep: int = KEEP) -> list[list[tuple[float, str, np.ndarray]]]:
-    """For each text its best chains: (gain, chain, text with the best stretch undone)."""
-    found: list[list[tuple[float, str, np.ndarray]]] = [[] for _ in texts]
+    Every wrong encoding is tried that has two neighbouring characters of an unlikely stretch, one beyond ASCII.
+    ``rights`` restricts the right encodings tried for each text. Lost characters are neutral here.
+    """
+    found: list[list[Found]] = [[] for _ in texts]
     cps, starts = _marked(texts)
     likely = np.maximum(model.likelihood(cps, starts), FLOOR)
+    likely[cps == LOST] = NEUTRAL
     odd, row = strange(cps, starts, model)
     # an unlikely stretch is four characters long
     wide = odd.copy()
     for k in (1, 2, 3):
         wide[k:] |= odd[:-k] & (row[k:] == row[:-k])
-    wide &= (cps > 0x7F) & (cps != LOST)
-    total = np.bincount(row[wide], minlength=len(texts))
+    beyond = (cps > 0x7F) & (cps != LOST)
     small = np.minimum(cps, 0xFFFF)
     for wrong in dict.fromkeys(d for _, d in CHAINS):
-        fits = np.bincount(row[wide & (encoder(wrong)[0][small] > 0)], minlength=len(texts))
-        ids = np.flatnonzero((fits > 0) & (fits * 2 >= total))
+        has = encoder(wrong)[0][small] > 0
+        two = wide[:-1] & wide[1:] & (has[:-1] | (cps[:-1] == LOST)) & (has[1:] | (cps[1:] == LOST)) & ((has & beyond)[:-1] | (has & beyond)[1:])
+        ids = np.flatnonzero(np.bincount(row[:-1][two], minlength=len(texts)) > 0)
         if not len(ids):
             continue
-        fine = (encoder(wrong)[0][small] > 0) & (cps >= 0xC0)
+        fine = has & (cps >= 0xC0)
         use = np.zeros(len(texts), bool)
         use[ids] = True
         part = use[row]
-        own_cps = cps[part]
+        own_cps, own_fine = cps[part], fine[part]
         own_starts = np.concatenate([[0], np.cumsum(np.diff(starts)[ids])])
         own = np.concatenate([[0], np.cumsum(likely[part], dtype=np.float64)])
+        single = wrong in SINGLE
+
+        def ragged(a: int, b: int, k: int, own_fine=own_fine, own_starts=own_starts) -> bool:
+            return bool((a > own_starts[k] and own_fine[a - 1]) or own_fine[min(b, len(own_fine) - 1)])
+
         for right in (e for e, d in CHAINS if d == wrong):
-            undone = undo(own_cps, own_starts, own, (right, wrong), model)
-            if undone is None:
-                continue
-            gain, a, b, c, d, out = undone
-            if wrong in SINGLE:
-                gain = gain - RAGGED * ((fine[part][np.maximum(a - 1, 0)] & (a > own_starts[:-1])) | fine[part][np.minimum(b, len(own_cps) - 1)])
-            for k in np.flatnonzero(gain > LEAST).tolist():
-                whole = np.concatenate([own_cps[own_starts[k] : a[k]], out[c[k] : d[k]], own_cps[b[k] : own_starts[k + 1]]])
-                found[ids[k]].append((float(gain[k]), f"{right}>{wrong}", whole[whole != 10]))
+            u = undo(own_cps, own_starts, own, (right, wrong), model)
+            for k in np.flatnonzero(u.best > LEAST).tolist():
+                if rights is not None and right not in rights[ids[k]]:
+                    continue
+                # the best stretch, and all others that gain more than their price
+                a, b, base = int(u.begin[k]), int(u.end[k]), int(u.first[k])
+                gain = float(u.best[k]) - (RAGGED if single and ragged(int(u.before[a]), int(u.before[b]), k) else 0.0)
+                if gain <= LEAST:
+                    continue
+                parts = [(a, b)]
+                for lo, hi in ((base, a), (b, int(u.first[k + 1]) - 1)):
+                    if hi - lo > 1:
+                        for x, y in stretches(u.gain[lo : hi + 1].tolist(), PRICE):
+                            more = float(u.gain[lo + y] - u.gain[lo + x]) - PRICE
+                            if not (single and more <= RAGGED and ragged(int(u.before[lo + x]), int(u.before[lo + y]), k)):
+                                parts.append((lo + x, lo + y))
+                                gain += more
+                parts.sort()
+                pieces, at = [], int(own_starts[k])
+                for x, y in parts:
+                    pieces += [own_cps[at : u.before[x]], _written(u, x, y, own_cps)]
+                    at = int(u.before[y])
+                whole = np.concatenate([*pieces, own_cps[at : own_starts[k + 1]]])
+                found[ids[k]].append((gain, f"{right}>{wrong}", whole[whole != 10]))
     for own_found in found:
         own_found.sort(key=lambda x: (-x[0], x[1]))
-        del own_found[keep:]
+        while own_found and own_found[-1][0] < own_found[0][0] - BEHIND:
+            own_found.pop()
     return found
 
 
 def evidence_of(texts: list[np.ndarray], model: Model) -> list[list[tuple[float, str, str]]]:
-    """Evidence (gain, chain, repaired text) of each strange text; the best chain's remains are undone as well."""
+    """Evidence (gain, chain, repaired text) of each strange text; the best chain's remains are undone as well.
+
+    A text that was read wrongly twice was written once: a further chain must have the right encoding of the
+    first. Lost characters add the same to every chain, and are the evidence of the unknown one.
+    """
     first = explain(texts, model)
     again = [i for i, f in enumerate(first) if f and f[0][0] > AGAIN]
     state = {i: first[i][0] for i in again}
     while again:  # it ends: every round adds more than KNOWN to the text's likelihood, which is bounded
         odd, row = strange(*_marked([state[i][2] for i in again]), model)
         again = [again[k] for k in np.flatnonzero(np.bincount(row[odd], minlength=len(again)))]
-        more = explain([state[i][2] for i in again], model) if again else []
+        more = explain([state[i][2] for i in again], model, [{c.partition(">")[0] for c in state[i][1].split("|")} for i in again]) if again else []
         left = []
         for i, m in zip(again, more, strict=True):
             gain, chain, _ = state[i]
             names = chain.split("|")
             # the chain that the rest of the text went through, else the best one
             best = next((x for x in m if x[1] in names and x[0] > KNOWN), m[0] if m and m[0][0] > AGAIN else None)
-            if best:
+            if best and not np.array_equal(best[2], state[i][2]):
                 state[i] = (gain + best[0], chain if best[1] in names else "|".join([*names, best[1]]), best[2])
                 left.append(i)
         again = left
     out = []
     for i, (t, f) in enumerate(zip(texts, first, strict=True)):
-        rows = [(state[i][0] if k == 0 and i in state else g, state[i][1] if k == 0 and i in state else c, text_of(state[i][2] if k == 0 and i in state else x)) for k, (g, c, x) in enumerate(f)]
-        if (t == LOST).any():
-            best = rows[0] if rows and rows[0][0] > AGAIN else None
-            rows.append((LOST_GAIN, "lost", best[2] if best else text_of(t)))
-        out.append([(g, c, x.replace("\x1c", "\n")) for g, c, x in rows])
+        rows = [state[i], *f[1:]] if i in state else f
+        lost = LOST_GAIN * int((t == LOST).sum())
+        known = [(g + lost, c, text_of(x if not lost or g > AGAIN else t)) for g, c, x in rows]
+        if lost:
+            known.append((lost, UNKNOWN, text_of(t)))
+        out.append([(g, c, x.replace("\x1c", "\n")) for g, c, x in known])
     return out
 
 
-PARTS = 64
+#: Parts of the model that are summed apart, and tables that one task sums at most on the first level.
+PARTS = 16
+FAN = 512
 
 
 def corpus_model(items: DataFrame, texts: str = "texts") -> Model:
     """The character model of all texts in the array column.
 
-    Every task adds up its own counts in a table of fixed size; the tables are summed part by part in streams,
-    so nothing that grows with the corpus comes together in one place. The model has 17 MB.
+    Every task adds up its own counts in a table of fixed size, mostly zeros, of which the compressed shuffle carries
+    a hundredth of the text read. The tables are summed part by part in streams, in two levels beyond ``FAN``
+    tasks, so nothing that grows with the corpus comes together in one place. The model has 17 MB.
     """
     step, step1 = BUCKETS // PARTS, UNIGRAMS // PARTS
 
@@ -438,7 +556,11 @@ def corpus_model(items: DataFrame, texts: str = "texts") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob.tobytes()], pa.binary())], names=["part", "counts"])
 
     schema = "part int, counts binary"
-    rows = items.select(texts).mapInArrow(tally, schema).repartition(8, "part").mapInArrow(add, schema).collect()
+    rows = items.select(texts).mapInArrow(tally, schema)
+    groups = -(-items.rdd.getNumPartitions() // FAN)
+    if groups > 1:  # so that no task adds up more than FAN tables
+        rows = rows.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(min(groups * PARTS, 20_000), "_g", "part").drop("_g").mapInArrow(add, schema)
+    rows = rows.repartition(PARTS, "part").mapInArrow(add, schema).collect()
     pairs, single = np.zeros(BUCKETS, np.float32), np.zeros(UNIGRAMS, np.float64)
     for k, blob in rows:
         one = np.frombuffer(blob, np.int64)
@@ -446,11 +568,14 @@ def corpus_model(items: DataFrame, texts: str = "texts") -> Model:
     return Model(pairs, single)
 
 
+EVIDENCE = "chains array<struct<chain:string,gain:double,repaired:string>>"
+
+
 def evidence(items: DataFrame, model: Model) -> DataFrame:
     """Evidence for chains in the texts of ``items`` (place, source, row_id, texts array<string>).
 
-    Returns place, source, row_id, pos, chain, gain, repaired: up to three rows for each strange text, none for
-    the others. Null and empty texts are never strange.
+    Returns place, source, row_id, pos, and ``chains``, an array of chain, gain, repaired with every chain that
+    there is evidence for. Texts without any have no row; null and empty texts never have.
     """
     shared = items.sparkSession.sparkContext.broadcast(model)
 
@@ -459,16 +584,23 @@ def evidence(items: DataFrame, model: Model) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             done = iter(evidence_of([t for w in waiting for t in w[3]], shared.value))
-            cols: list[list] = [[] for _ in range(7)]
+            keys, cols, ends = [], [[], [], []], [0]
             for batch, row, pos, _ in waiting:
-                keys = batch.select(["place", "source", "row_id"]).take(pa.array(row)).to_pylist()
-                for key, at, rows in zip(keys, pos.tolist(), done):
-                    for gain, chain, fixed in rows:
-                        for col, v in zip(cols, (key["place"], key["source"], key["row_id"], at, chain, gain, fixed), strict=True):
-                            col.append(v)
+                with_evidence = []
+                for k in range(len(row)):
+                    found = next(done)
+                    if found:
+                        with_evidence.append(k)
+                        for gain, chain, fixed in found:
+                            for col, v in zip(cols, (chain, gain, fixed), strict=True):
+                                col.append(v)
+                        ends.append(len(cols[0]))
+                take = pa.array(row[with_evidence], pa.int64())
+                keys.append([*(batch.column(c).take(take) for c in ("place", "source", "row_id")), pa.array(pos[with_evidence], pa.int32())])
             waiting.clear()
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["place", "source", "row_id", "pos", "chain", "gain", "repaired"])
+            structs = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.string()), strict=True)], names=["chain", "gain", "repaired"])
+            whole = [pa.concat_arrays(c) for c in zip(*keys, strict=True)]
+            return pa.RecordBatch.from_arrays([*whole, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], names=["place", "source", "row_id", "pos", "chains"])
 
         size = 0
         for big in batches:
@@ -487,38 +619,49 @@ def evidence(items: DataFrame, model: Model) -> DataFrame:
         if waiting:
             yield flush()
 
-    return items.select("place", "source", "row_id", "texts").mapInArrow(run, "place string, source string, row_id bigint, pos int, chain string, gain double, repaired string")
+    return items.select("place", "source", "row_id", "texts").mapInArrow(run, f"place string, source string, row_id bigint, pos int, {EVIDENCE}")
 
 
 def posterior(found: DataFrame, totals: DataFrame) -> DataFrame:
-    """Expectation-maximization over the evidence; adds ``posterior`` to each of its rows.
+    """Expectation-maximization over the evidence: ``found`` with ``posterior``, an array along ``chains``.
 
     ``totals`` (place, source, n) has the number of texts of each field and source: those without evidence count
-    as undamaged. A null source is a source like any other.
+    as undamaged. A null source is a source like any other. A round joins each text to the chain priors of its
+    source, a map of as many entries as there are chains, and adds the posteriors up by source and chain; it is the
+    last once the shares have settled. Only sums by chain come to the driver.
     """
     key = F.concat_ws("\x00", "place", F.coalesce("source", F.lit("\x01")))
     rows = found.withColumn("_key", key)
-    sizes = totals.groupBy(key.alias("_key")).agg(F.sum("n").alias("n"))
+    sizes = cut(totals.groupBy(key.alias("_key")).agg(F.sum("n").alias("n")), "em")
     whole = float(sizes.agg(F.sum("n")).first()[0] or 1)
     kinds = len(CHAINS) + 1
     start = DAMAGED / kinds
-    one = Window.partitionBy("place", "row_id", "pos")
-    prior = None
-    for _ in range(ITERATIONS + 1):
-        if prior is None:
-            now = rows.withColumn("_prior", F.lit(start))
-        else:
-            now = join_small(rows, prior, ["_key", "chain"], "left").fillna(start / 10, ["_prior"])
-        now = now.withColumn("_top", F.greatest(F.max("gain").over(one), F.lit(0.0)))
-        now = now.withColumn("_w", F.col("_prior") * F.exp(F.col("gain") - F.col("_top")))
-        now = now.withColumn("posterior", F.col("_w") / (F.sum("_w").over(one) + (1 - DAMAGED) * F.exp(-F.col("_top"))))
-        if _ == ITERATIONS:
-            return now.drop("_key", "_prior", "_w", "_top")
-        mass = cut(now.groupBy("_key", "chain").agg(F.sum("posterior").alias("m")), "em")
-        common = mass.groupBy("chain").agg(((F.sum("m") + start) / (whole + kinds)).alias("common"))
-        prior = join_small(join_small(mass, sizes, ["_key"], "left"), common, ["chain"])
-        prior = prior.select("_key", "chain", ((F.col("m") + WEIGHT * F.col("common")) / (F.coalesce("n", F.lit(0)) + WEIGHT)).alias("_prior"))
-    raise AssertionError
+    gains = rows.select("_key", F.transform("chains", lambda c: F.struct(c["chain"].alias("chain"), c["gain"].alias("gain"))).alias("chains"))
+
+    def judged(df: DataFrame, prior: DataFrame | None) -> DataFrame:
+        """With ``posterior``: prior times likelihood over their sum, the undamaged text's among them."""
+        df = df.withColumn("_prior", F.lit(None).cast("map<string,double>")) if prior is None else join_small(df, prior, ["_key"], "left")
+        known = F.lit(start) if prior is None else F.lit(start / 10)
+        top = F.greatest(F.array_max(F.transform("chains", lambda c: c["gain"])), F.lit(0.0))
+        weigh = F.transform("chains", lambda c: F.coalesce(F.try_element_at("_prior", c["chain"]), known) * F.exp(c["gain"] - F.col("_top")))
+        df = df.withColumn("_top", top).withColumn("_w", weigh)
+        every = F.aggregate("_w", (1 - DAMAGED) * F.exp(-F.col("_top")), lambda a, w: a + w)
+        return df.withColumn("_all", every).withColumn("posterior", F.transform("_w", lambda w: w / F.col("_all"))).drop("_prior", "_top", "_w", "_all")
+
+    prior, before = None, {}
+    for _ in range(ITERATIONS):
+        each = F.explode(F.arrays_zip(F.col("chains.chain").alias("chain"), F.col("posterior").alias("p"))).alias("e")
+        mass = cut(judged(gains, prior).select("_key", each).groupBy("_key", F.col("e.chain").alias("chain")).agg(F.sum("e.p").alias("m")), "em")
+        sums = {r[0]: r[1] for r in mass.groupBy("chain").agg(F.sum("m")).collect()}
+        common = F.create_map(*(F.lit(x) for c, m in sums.items() for x in (c, (m + start) / (whole + kinds)))) if sums else F.create_map().cast("map<string,double>")
+        shares = join_small(mass, sizes, ["_key"], "left")
+        share = (F.col("m") + WEIGHT * F.try_element_at(common, F.col("chain"))) / (F.coalesce("n", F.lit(0)) + WEIGHT)
+        prior = shares.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("chain", share.alias("p")))).alias("_prior"))
+        moved = sum(abs(sums.get(c, 0.0) - before.get(c, 0.0)) for c in {*sums, *before})
+        before = sums
+        if moved <= MOVED * sum(sums.values()):
+            break
+    return judged(rows, prior).drop("_key")
 
 
 def repaired_texts(found: DataFrame) -> DataFrame:
@@ -527,17 +670,23 @@ def repaired_texts(found: DataFrame) -> DataFrame:
     A text is damaged if its chains together have a posterior of one half or more; ``chain`` and ``repaired``
     are those of the most likely one, ties by name. Characters that can't be told any more are U+FFFD.
     """
-    best = F.max(F.struct((F.col("chain") != "lost").alias("told"), "posterior", "chain", "repaired"))
-    rows = found.groupBy("place", "source", "row_id", "pos").agg(F.sum("posterior").alias("total"), best.alias("b"))
-    return rows.where("total >= 0.5").select("place", "source", "row_id", "pos", F.when(F.col("b.posterior") > 1e-6, F.col("b.chain")).otherwise(F.lit("lost")).alias("chain"), F.col("total").alias("posterior"), "b.repaired")
+    each = F.zip_with("posterior", "chains", lambda p, c: F.struct(p.alias("p"), c["chain"].alias("chain"), c["repaired"].alias("repaired")))
+    total = F.aggregate("posterior", F.lit(0.0), lambda a, p: a + p)
+    rows = found.select("place", "source", "row_id", "pos", F.array_max(each).alias("b"), total.alias("posterior")).where("posterior >= 0.5")
+    return rows.select("place", "source", "row_id", "pos", "b.chain", "posterior", "b.repaired").dropDuplicates(["place", "source", "row_id", "pos"])
 
 
-def repair(items: DataFrame, model: Model | None = None, totals: DataFrame | None = None) -> DataFrame:
+def repair(items: DataFrame, model: Model | None = None, totals: DataFrame | None = None, pools: DataFrame | None = None) -> DataFrame:
     """Damaged texts of ``items`` (place, source, row_id, texts) and their repair, see ``repaired_texts``.
 
-    Repeated rows are judged each (equal row_id and pos count as one text). Empty tables give an empty result.
+    ``pools`` (source, pool) names the pool of each source, where evidence is put together by something that the
+    items don't have; it joins the evidence, never the texts. Repeated rows are judged each (equal row_id and pos
+    count as one text). Empty tables give an empty result.
     """
     if totals is None:
         totals = items.groupBy("place", "source").agg(F.sum(F.size(F.coalesce("texts", F.array().cast("array<string>")))).alias("n"))
-    found = cut(evidence(items, model or corpus_model(items)), "evidence")
-    return repaired_texts(posterior(found, totals))
+    found = evidence(items, model or corpus_model(items))
+    if pools is not None:
+        named = pools.select("source", F.col("pool").alias("_pool"))
+        found, totals = (join_small(df, named, ["source"], "left").withColumn("source", F.col("_pool")).drop("_pool") for df in (found, totals))
+    return repaired_texts(posterior(cut(found, "evidence"), totals))

@@ -80,12 +80,80 @@ def test_operator(spark):
 
 
 def test_prior_pools_weak_evidence(spark):
-    strong = [("p", "a", i, 0, "utf-8>cp1252", 40.0, "r") for i in range(50)]
-    weak = [("p", s, 900, 0, "utf-8>cp1252", 6.5, "r") for s in ("a", "b")]
-    found = spark.createDataFrame(strong + weak, "place string, source string, row_id long, pos int, chain string, gain double, repaired string")
+    strong = [("p", "a", i, 0, [("utf-8>cp1252", 40.0, "r")]) for i in range(50)]
+    weak = [("p", s, 900, 0, [("utf-8>cp1252", 6.5, "r"), ("gbk>big5", 1.0, "q")]) for s in ("a", "b")]
+    found = spark.createDataFrame(strong + weak, f"place string, source string, row_id long, pos int, {X.EVIDENCE}")
     totals = spark.createDataFrame([("p", "a", 100), ("p", "b", 100_000)], "place string, source string, n long")
-    post = {(r.source, r.row_id): r.posterior for r in X.posterior(found, totals).collect()}
+    post = {(r.source, r.row_id): sum(r.posterior) for r in X.posterior(found, totals).collect()}
     assert post["a", 900] > 0.9 > 0.5 > post["b", 900]
+    # pools given beside the texts
+    assert X.posterior(found.limit(0), totals.limit(0)).count() == 0
+
+
+def test_lost_characters_can_be_overruled(spark):
+    """In a source where every text holds one they are evidence as before; what EM pools is not fixed."""
+    rows = [("p", "a", i, 0, [(X.UNKNOWN, X.LOST_GAIN, "r")]) for i in range(3)]
+    found = spark.createDataFrame(rows, f"place string, source string, row_id long, pos int, {X.EVIDENCE}")
+    few = {sum(r.posterior) > 0.99 for r in X.posterior(found, spark.createDataFrame([("p", "a", 3)], "place string, source string, n long")).collect()}
+    many = {sum(r.posterior) > 0.99 for r in X.posterior(found, spark.createDataFrame([("p", "a", 10**9)], "place string, source string, n long")).collect()}
+    assert few == {True} and many == {False}
+
+
+@pytest.mark.parametrize("places", [1, 2, 3, 8, 12])
+def test_stretches_between_clean_ones(model, places):
+    """Clean sentences between damaged ones stay as they are, whatever the wrong encoding can hold."""
+    table = X.decode_single("cp1252")
+    wrong = lambda s: "".join(chr(table[b]) for b in s.encode())
+    a, b, c = CLEAN["zh"]
+    clean = " ".join(f"{a}{b}{c}" for _ in range(places))
+    bad = " ".join(f"{a}{wrong(b)}{c}" for _ in range(places))
+    assert best(bad, model)[2] == clean
+
+
+def test_nothing_is_lost_by_repair(model):
+    table = X.decode_single("cp1252")
+    wrong = lambda s: "".join(chr(table[b]) for b in s.encode())
+    a, b, _ = CLEAN["zh"]
+    cut = wrong(a)[:-2] + b  # two bytes are missing: what they belonged to stays as it stands
+    fixed = best(cut, model)[2]
+    assert "�" not in fixed and fixed.startswith(a[:-1]) and fixed.endswith(b)
+    gap = wrong(a[:5]) + "�" + wrong(a[6:]) + b  # a whole character lost
+    assert best(gap, model)[2] == a[:5] + "�" + a[6:] + b
+
+
+def test_sizes_byte_by_byte():
+    for right in X.DOUBLE:
+        text = "".join(chr(c) for c in (*range(0x20, 0x7F), *range(0x3041, 0x3090), *range(0x4E00, 0x5200)) if X.encoder(right)[0][c])
+        raw = text.encode(right) + b"\xff" + text.encode(right)[:-1] + b"\x81"
+        exact = X._sizes_exactly(raw, right)
+        out = np.frombuffer(raw.decode(right, "surrogateescape").encode("utf-32-le", "surrogatepass"), "<u4")
+        assert len(exact) == len(out) and exact.sum() == len(raw)
+        assert (exact == X._sizes(out.copy(), right)).mean() > 0.99
+
+
+def test_stretches_against_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        gain = np.concatenate([[0], np.cumsum(rng.normal(0, 3, 9))]).tolist()
+        got = sum(gain[b] - gain[a] - 2 for a, b in X.stretches(gain, 2))
+        cash, hold = 0.0, -1e9
+        for g in gain:
+            cash, hold = max(cash, hold + g), max(hold, cash - g - 2)
+        assert got == pytest.approx(cash)
+
+
+def test_any_number_of_chains(model):
+    """Every chain with evidence is kept."""
+    texts = [codepoints(pa.array([t]))[0].copy() for t in ("雨Ð¾ÐºÐ¾Ð»Ð¾", "Ðºîìïàñ òîãî äîðîæå", "ÐŸÐ¾Ð´")]
+    assert max(len(f) for f in X.explain(texts, model)) > 3
+
+
+def test_model_in_two_levels(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [t]) for i, t in enumerate([t for ts in CLEAN.values() for t in ts] * 9)], "i int, texts array<string>").repartition(7)
+    one = X.corpus_model(df)
+    monkeypatch.setattr(X, "FAN", 2)
+    two = X.corpus_model(df)
+    assert (one.pairs == two.pairs).all() and (one.single == two.single).all() and one.single.sum() > 0
 
 
 def test_short_texts(spark):
