@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_small
 from .text import chunks, codepoints, exploded, strings, to_strings
 
 # Letters of one script or block that look like a letter of another, and that letter.
@@ -178,43 +180,44 @@ def _compose(cps: np.ndarray, row: np.ndarray, t: _Tables) -> tuple[np.ndarray,
     ccc = t.ccc[out]
     order = np.lexsort((ccc, np.cumsum((ccc == 0) | first)))
     out, row = out[order], row[order]
-    while True:
-        changed = False
-        for step in (1, 2, 3, 4):
-            if len(out) <= step:
-                break
-            ccc = t.ccc[out]
-            a, b = out[:-step].astype(np.int64), out[step:].astype(np.int64)
-            ok = (row[:-step] == row[step:]) & (t.ccc[out[:-step]] == 0)
-            for k in range(1, step):  # a mark in between must be of a lower class and not a base
-                ok &= (ccc[k : len(ccc) - step + k] > 0) & (ccc[k : len(ccc) - step + k] < ccc[step:])
-            key = a << 21 | b
-            at = np.minimum(np.searchsorted(t.pair_keys, key), len(t.pair_keys) - 1)
-            hit = ok & (t.pair_keys[at] == key)
-            made = t.pair_values[at].astype(np.int64)
-            if step == 1:
-                lv = ok & (a >= _L) & (a < _L + 19) & (b >= _V) & (b < _V + 21)
-                made = np.where(lv, _S + ((a - _L) * 21 + (b - _V)) * 28, made)
-                lvt = ok & (a >= _S) & (a < _S + 11172) & ((a - _S) % 28 == 0) & (b > _T) & (b < _T + 28)
-                made = np.where(lvt, a + (b - _T), made)
-                hit = hit | lv | lvt
-            spots = np.flatnonzero(hit)
-            if len(spots):
-                if step == 1:  # of overlapping pairs take the first
-                    keep = np.ones(len(spots), bool)
-                    for i in np.flatnonzero(np.diff(spots) == 1):
-                        keep[i + 1] = not keep[i]
-                    spots = spots[keep]
-                else:  # one mark for each base at a time
-                    spots = spots[np.concatenate([[True], np.diff(spots) > step])]
-                out[spots] = made[spots]
-                stay = np.ones(len(out), bool)
-                stay[spots + step] = False
-                out, row = out[stay], row[stay]
-                changed = True
-                break
-        if not changed:
-            return out, row
+    while len(out) > 1:
+        # each character with its base: a mark with the last one that isn't a mark, another with the one before it. The
+        # marks are in order, so one is cut off from its base only by one of the same class right before it.
+        ccc = t.ccc[out]
+        at = np.arange(len(out))
+        start = (ccc == 0) | np.concatenate([[True], row[1:] != row[:-1]])
+        last = np.maximum.accumulate(np.where(start, at, 0))
+        base = np.where(start, at - 1, last)
+        clear = np.concatenate([[False], np.where(start[1:], ccc[:-1] == 0, (last[1:] == at[:-1]) | (ccc[:-1] < ccc[1:]))])
+        ok = clear & (row[base] == row) & (ccc[base] == 0)
+        a, b = out[base].astype(np.int64), out.astype(np.int64)
+        key = a << 21 | b
+        where = np.minimum(np.searchsorted(t.pair_keys, key), len(t.pair_keys) - 1)
+        hit = ok & (t.pair_keys[where] == key)
+        made = t.pair_values[where].astype(np.int64)
+        lv = ok & start & (a >= _L) & (a < _L + 19) & (b >= _V) & (b < _V + 21)
+        made = np.where(lv, _S + ((a - _L) * 21 + (b - _V)) * 28, made)
+        lvt = ok & start & (a >= _S) & (a < _S + 11172) & ((a - _S) % 28 == 0) & (b > _T) & (b < _T + 28)
+        made = np.where(lvt, a + (b - _T), made)
+        spots = np.flatnonzero(hit | lv | lvt)
+        if not len(spots):
+            break
+        # of characters that would join one after the other, every second one waits; so does a mark of one that joins
+        whole = spots[start[spots]]
+        if len(whole):
+            fresh = np.concatenate([[True], np.diff(whole) > 1])
+            begun = np.maximum.accumulate(np.where(fresh, whole, 0))
+            whole = whole[(whole - begun) % 2 == 0]
+        marks = spots[~start[spots]]
+        marks = marks[~np.isin(base[marks], whole)]
+        marks = marks[np.concatenate([[True], base[marks][1:] != base[marks][:-1]])] if len(marks) else marks
+        marks = marks[~np.isin(base[marks], base[whole])]
+        spots = np.concatenate([whole, marks])
+        out[base[spots]] = made[spots]
+        stay = np.ones(len(out), bool)
+        stay[spots] = False
+        out, row = out[stay], row[stay]
+    return out, row
 
 
 def fold_codepoints(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +255,7 @@ def fold_codepoints(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
 def fold_texts(texts: pa.Array) -> pa.Array:
     """The one form of each text; nulls stay null."""
     done = to_strings(*fold_codepoints(*codepoints(texts)))
-    return done if not texts.null_count else pa.array([None if x is None else y for x, y in zip(texts.to_pylist(), done.to_pylist(), strict=True)], pa.string())
+    return pc.if_else(texts.is_null(), pa.scalar(None, pa.string()), done) if texts.null_count else done
 
 
 def fold_column(df: DataFrame, keys: list[str], text: str, out: str = "form") -> DataFrame:
@@ -267,7 +270,7 @@ def fold_column(df: DataFrame, keys: list[str], text: str, out: str = "form") ->
                 if pa.types.is_list(col.type):
                     row, _, flat = exploded(col)
                     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(col)))]).astype(np.int32)
-                    mask = pa.array(col.is_null().to_pylist()) if col.null_count else None
+                    mask = col.is_null() if col.null_count else None
                     col = pa.ListArray.from_arrays(pa.array(offsets), fold_texts(flat), mask=mask)
                 else:
                     col = fold_texts(col)
@@ -306,50 +309,59 @@ def form_keys(df: DataFrame, keys: list[str], texts: str = "texts") -> DataFrame
     return df.select(*keys, texts).mapInArrow(run, schema)
 
 
-#: Rows of one form that one task pairs at a time.
+#: Rows of one spelling that one task pairs at a time.
 BLOCK = 2000
 
 
+def _spellings(items: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``items`` with ``_g``, the group as one value that equals itself also where it is null, and the spellings
+    (_g, form, raw, n) of forms that have several. Counts are combined before the shuffle."""
+    rows = items.withColumn("_g", F.struct(*group))
+    sizes = rows.groupBy("_g", "form", "raw").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("_g", "form").agg(F.min("raw").alias("r0"), F.max("raw").alias("r1"), F.sum("n").alias("n_form")).where("r0 <> r1").select("_g", "form", "n_form")
+    return rows, sizes.join(several, ["_g", "form"])
+
+
+def alike(items: DataFrame, group: list[str]) -> DataFrame:
+    """The rows of ``items`` whose form stands in their group in more than one spelling.
+
+    What has several spellings is joined by checked broadcast, else salted, so a form that a third of all rows have
+    makes even tasks.
+    """
+    rows, spelled = _spellings(items, group)
+    return join_small(rows, spelled.select("_g", "form").distinct(), ["_g", "form"], "left_semi").drop("_g")
+
+
+def classes(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """One row for each row of ``items`` that has a look-alike: ``group``, ``order``, its class' least ``order`` as
+    ``first`` and n_links, the number of rows in the class spelled otherwise. The compact form of all pairs."""
+    rows, spelled = _spellings(items, group)
+    first = join_small(rows, spelled.select("_g", "form").distinct(), ["_g", "form"], "left_semi").groupBy("_g", "form").agg(F.min(F.struct(*order)).alias("first"))
+    known = join_small(rows, spelled.select("_g", "form", "raw", (F.col("n_form") - F.col("n")).alias("n_links")), ["_g", "form", "raw"])
+    return join_small(known, first, ["_g", "form"]).select(*group, *order, "first", "n_links")
+
+
 def equal_looking_pairs(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Pairs of rows within a group with the same ``form`` and another ``raw``, the smaller ``order`` first.
 
     Returns ``group`` and, for each of ``order``, it with _a and _b. Rows are never paired with those of equal
-    ``raw``: the join runs over pairs of distinct forms, whose number is what differs, and the larger side of each
-    is spread over blocks of ``BLOCK`` rows, so a line standing in a third of all rows makes even tasks and no
-    pair more than the result has. Repeated rows pair each; null group values are a group like any other.
+    ``raw``: the join runs over pairs of spellings, whose number is what differs. Both sides of each are cut into
+    blocks of ``BLOCK`` rows, and a task pairs a block with a block, so a line standing in a third of all rows makes
+    even tasks and no pair more than the result has. Repeated rows pair each; null group values are a group like
+    any other.
     """
-    key = [*group, "form"]
-    sizes = items.groupBy(*key, "raw").agg(F.count("*").alias("n"))
-    several = sizes.groupBy(*key).agg(F.min("raw").alias("r0"), F.max("raw").alias("r1")).where("r0 <> r1").select(*key)
-    sizes = sizes.join(several, _same(sizes, several, key), "left_semi")
-    a = sizes.select(*[F.col(k).alias(f"{k}_1") for k in key], F.col("raw").alias("raw_1"), F.col("n").alias("n_1"))
-    b = sizes.select(*[F.col(k).alias(f"{k}_2") for k in key], F.col("raw").alias("raw_2"), F.col("n").alias("n_2"))
-    on = F.lit(True)
-    for k in key:
-        on = on & F.col(f"{k}_1").eqNullSafe(F.col(f"{k}_2"))
-    both = a.join(b, on & (F.col("raw_1") < F.col("raw_2")))
-    both = both.select(*[F.col(f"{k}_1").alias(f"{k}_0") for k in key], "raw_1", "raw_2", (F.col("n_1") >= F.col("n_2")).alias("first"), F.ceil(F.greatest("n_1", "n_2") / F.lit(BLOCK)).cast("int").alias("blocks"))
-
-    def side(no: int) -> DataFrame:
-        rows = items.select(*[F.col(k).alias(k) for k in key], F.col("raw").alias("_raw"), F.struct(*order).alias(f"o{no}"))
-        match = F.col("_raw") == F.col(f"raw_{no}")
-        for k in key:
-            match = match & F.col(k).eqNullSafe(F.col(f"{k}_0"))
-        larger = F.col("first") if no == 1 else ~F.col("first")
-        block = F.when(larger, F.array(F.pmod(F.xxhash64(f"o{no}"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-        return rows.join(both, match).select(*[F.col(k).alias(f"{k}_s{no}") for k in key], F.col("raw_1").alias(f"ra{no}"), F.col("raw_2").alias(f"rb{no}"), f"o{no}", F.explode(block).alias(f"block{no}"))
-
-    left, right = side(1), side(2)
-    on = (F.col("ra1") == F.col("ra2")) & (F.col("rb1") == F.col("rb2")) & (F.col("block1") == F.col("block2"))
-    for k in key:
-        on = on & F.col(f"{k}_s1").eqNullSafe(F.col(f"{k}_s2"))
-    out = left.join(right, on)
+    rows, spelled = _spellings(items, group)
+    a = spelled.select("_g", "form", F.col("raw").alias("raw_1"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks_1"))
+    b = spelled.select("_g", "form", F.col("raw").alias("raw_2"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks_2"))
+    both = a.join(b, ["_g", "form"]).where("raw_1 < raw_2")
+    plain = rows.select("_g", "form", "raw", F.struct(*order).alias("o"))
+
+    def side(own: int, other: int) -> DataFrame:
+        mine = both.select("_g", "form", F.col(f"raw_{own}").alias("raw"), F.col(f"raw_{other}").alias("_raw"), F.col(f"blocks_{own}").alias("_own"), F.col(f"blocks_{other}").alias("_other"))
+        met = join_small(plain, mine, ["_g", "form", "raw"]).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_other") - 1)))
+        block = F.pmod(F.xxhash64("o"), F.col("_own")).cast("int")
+        return met.select("_g", "form", F.col("raw").alias(f"raw_{own}"), F.col("_raw").alias(f"raw_{other}"), block.alias(f"block_{own}"), F.col("_other").alias(f"block_{other}"), F.col("o").alias(f"o{own}"))
+
+    out = side(1, 2).join(side(2, 1), ["_g", "form", "raw_1", "raw_2", "block_1", "block_2"])
     low, high = F.least("o1", "o2"), F.greatest("o1", "o2")
-    return out.select(*[F.col(f"{g}_s1").alias(g) for g in group], low.alias("_l"), high.alias("_h")).select(*group, *[F.col(f"_l.{o}").alias(f"{o}_a") for o in order], *[F.col(f"_h.{o}").alias(f"{o}_b") for o in order])
-
-
-def _same(a: DataFrame, b: DataFrame, keys: list[str]):
-    on = F.lit(True)
-    for k in keys:
-        on = on & a[k].eqNullSafe(b[k])
-    return on
+    return out.select("_g.*", low.alias("_l"), high.alias("_h")).select(*group, *[F.col(f"_l.{o}").alias(f"{o}_a") for o in order], *[F.col(f"_h.{o}").alias(f"{o}_b") for o in order])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .stuffing import judge_pages
@@ -14,8 +15,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every page is built of."""
-    return judge_pages(table(spark, sf_dir, "documents"), "doc_id")
+    """What every page is built of: all its shapes, with their units, their share of the page, and whether they are
+    stuffed."""
+    judged = judge_pages(table(spark, sf_dir, "documents"), "doc_id")
+    return judged.select("doc_id", F.col("share").alias("stuffed_share"), F.explode_outer("shapes").alias("s")).select("doc_id", "stuffed_share", "s.*")
 
 
 QUERIES = {"p9_found": p9_found, "p9_shapes": p9_shapes}

@@ -36,6 +36,15 @@ def test_composition_is_that_of_unicode():
     assert sum(a == unicodedata.normalize("NFC", t) for a, t in zip(got, texts, strict=True)) > 300
 
 
+def test_long_stacks_of_marks():
+    rng = random.Random(3)
+    marks = [c for c in range(0x300, 0x370) if L._tables().fold[c] == c and c != 0x34F]
+    texts = ["x" + "".join(rng.choice("aeouAE") + "".join(chr(rng.choice(marks)) for _ in range(rng.randint(5, 40))) for _ in range(3)) for _ in range(200)]
+    # one mark far from its base, behind marks of lower classes
+    texts += ["xa" + "\u0327\u0328\u031b\u0323\u0324\u0325\u0330\u0331"[:k] + "\u0301" for k in range(9)]
+    assert forms(*texts) == [unicodedata.normalize("NFC", t) for t in texts]
+
+
 def brute_pairs(rows):
     out = set()
     for i, (g, c, p, t) in enumerate(rows):
@@ -56,6 +65,15 @@ def test_pairs_against_brute_force(spark, monkeypatch):
     flat = [(b, c, p, t) for c, b, ts, _ in chapters for p, t in enumerate(ts)]
     assert sorted((r.book or "", (r.chapter_a, r.pos_a), (r.chapter_b, r.pos_b)) for r in got) == sorted((g or "", a, b) for g, a, b in brute_pairs(flat))
 
+    # the same by class
+    links = {}
+    for g, a, b in brute_pairs(flat):
+        for x in (a, b):
+            links[g, x] = links.get((g, x), 0) + 1
+    rows = L.classes(L.alike(keyed, ["book", "kind"]), ["book", "kind"], ["chapter", "pos"]).collect()
+    assert {(r.book, (r.chapter, r.pos)): r.n_links for r in rows} == links and len(rows) == len(links)
+    assert all((r.first.chapter, r.first.pos) <= (r.chapter, r.pos) for r in rows)
+
 
 def test_columns(spark):
     df = spark.createDataFrame([(1, ["ａ", None], "ｂ" * 200_000), (2, None, None), (2, [], "")], "id int, l array<string>, s string")

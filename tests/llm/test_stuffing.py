@@ -1,6 +1,9 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillspark.llm.stuffing import judge, judge_pages
+from quillspark.llm import stuffing as S
+from quillspark.llm.stuffing import judge_pages
 
 SPAM = [
     "\n".join(f"https://a{i}.example/b/{i}" for i in range(9)), "\n".join(f"[标题{i}](http://x.test/{i})" for i in range(9)), "\n".join(f"第{i}章 → m.x-mp3.test/{i}" for i in range(9)), "#免费听书\n#有声书\n" * 6,
@@ -13,6 +16,40 @@ FINE = [
 ]
 
 
+def judge(text):
+    share, (_, code, _, chars, bad) = S.judge_batch(pa.array([text]))
+    return share[0], [(S.shape_name(c), n, b) for c, n, b in zip(code.tolist(), chars.tolist(), bad.tolist(), strict=True)]
+
+
+def test_pages_of_a_batch_do_not_touch():
+    alone = [judge(t)[0] for t in SPAM + FINE]
+    assert S.judge_batch(pa.array(SPAM + FINE))[0].tolist() == alone
+    assert S.judge_batch(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_the_shapes_decide():
+    """With one shape for all units nothing is told apart any more."""
+    one = S.judge_batch(pa.array(SPAM + FINE), lambda u: np.zeros(len(u.page), np.int64))[0] > S.SHARE
+    assert one.tolist() != [True] * len(SPAM) + [False] * len(FINE)
+
+
+def brute_repeated(texts, n):
+    flat = "\n".join("".join(c for c in t.lower() if c.isalnum()) for t in texts)
+    hit = set()
+    for i in range(len(flat) - n + 1):
+        g = flat[i : i + n]
+        if "\n" not in g and sum(flat[j : j + n] == g for j in range(len(flat))) >= S.REPEATED:
+            hit.update(range(i, i + n))
+    return len(hit)
+
+
+@pytest.mark.parametrize(("text", "n"), [("abcdef ghij\nabcdef, xyz\nAbcdef\nqrs tuv", 5), ("棋盘灯塔\n棋盘老街\n又见棋盘\n山水", 2), ("กขคงจฉช\nกขคงจ\nฉกขคง", 4)])
+def test_repetition_against_brute_force(text, n):
+    u = S.Units(pa.array([text, text]))
+    got = np.bincount(u.page, S._repeated(u, np.ones(len(u.page), bool)))
+    assert got.tolist() == [brute_repeated(text.split("\n"), n)] * 2
+
+
 @pytest.mark.parametrize("text", SPAM)
 def test_stuffed(text):
     assert judge(text)[0] > 0.5, judge(text)
