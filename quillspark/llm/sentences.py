@@ -5,7 +5,9 @@ that opens a sentence goes on with the clause after it; speech led in by a colon
 Whether a full stop belongs to an abbreviation is decided from the document: from what follows the same word and
 full stop where that is unambiguous (a small letter, a figure, the end of a paragraph), with the whole corpus as
 fallback for words the document says too little about. Words that are never at an end are titles and initials,
-after which a capital begins a name. Scripts have their own terminators; Thai parts sentences by single blanks.
+after which a capital begins a name, unless the document has the word that follows in small letters and nowhere
+capitalised within a sentence: then it is no name, and a sentence begins with it. Scripts have their own
+terminators; Thai parts sentences by single blanks.
 
 Texts are compared by shape (width, look-alikes, kinds of blanks, invisible characters make no difference), and
 positions are those of the stored text.
@@ -37,13 +39,22 @@ STOPS = "。！？!?.।॥؟۔｡"
 CLOSERS = "”“’»›」』)]》〉】〕}〞\""
 _OPEN_AT = set("“„「『«‹‟〝") | set(BRACKETS)
 _END = re.compile(r"[。！？!?.।॥؟۔]+|…+")
-_WORD = re.compile(r"[\w’'\-]+(?:\.[\w’'\-]+)*$")
+_IN_WORD = re.compile(r"[\w’'\-]")
 _DOT = re.compile(r"(?<=[^\W\d_])\.(?:(?=[,;:])|(?=[\"”»’)\]]*\s*$)|(?=\s))")
-_QUOTED = re.compile(r"“[^”]*”|„[^“]*“|«[^»]*»|\"[^\"]*\"|「[^」]*」")
+# Marks around speech whose words aren't counted.
+_QUOTES = {"“": "”", "„": "“", "«": "»", '"': '"', "「": "」"}
+_QUOTE = re.compile("[" + "".join(_QUOTES) + "]")
+_TAIL = re.compile(r"[ \t\"”»’)\]]*$")
+_INK = re.compile(r"\S")
+_BLANKS = re.compile(r" +")
+_SMALL = re.compile(r"(?<![\w’'\-])[^\W\d_]+(?![\w’'\-])")
 _NEXT = re.compile(r"\s+[^\w\s]*(\w)(\w?)")
 _THAI = re.compile(r"[฀-๿]")
 _MAYBE = re.compile(r"[^\W\d_][.．](?!\d)")
 _LETTER = re.compile(r"\w")
+_CASED = re.compile(r"[^\W\d_]+")
+#: A word within a sentence: after a small letter or comma and one blank.
+_INSIDE = re.compile(r"(?<=[^\W\d_A-Z,] )[^\W\d_]+")
 
 
 class Shapes:
@@ -79,7 +90,7 @@ def occurrences(text: str) -> Iterator[tuple[str, str]]:
 
     What follows is l, a small letter; d, a figure; c, a capital; e, the end; p, a mark within the sentence.
     """
-    text = _QUOTED.sub('""', text)
+    text = _without_speech(text)
     for m in _DOT.finditer(text):
         stop = m.start()
         at = stop - 1
@@ -94,7 +105,7 @@ def occurrences(text: str) -> Iterator[tuple[str, str]]:
             continue
         k = _NEXT.match(text, stop + 1)
         if not k:
-            if not text[stop + 1 :].strip(" \t\"”»’)]"):
+            if _TAIL.match(text, stop + 1):
                 yield word, "e"
         elif k[1].isdigit():
             yield word, "d"
@@ -103,19 +114,38 @@ def occurrences(text: str) -> Iterator[tuple[str, str]]:
             yield word, "l" if k[1].islower() and not k[2].isupper() else "c"
 
 
-Counts = dict[str, Counter]
+def _without_speech(text: str) -> str:
+    """The text with two marks instead of what stands between quotation marks."""
+    out, at, closed = [], 0, dict.fromkeys(_QUOTES, True)
+    for m in _QUOTE.finditer(text):
+        i, mark = m.start(), m[0]
+        if i < at or not closed[mark]:
+            continue
+        end = text.find(_QUOTES[mark], i + 1)
+        if end < 0:
+            closed[mark] = False
+            continue
+        out += (text[at:i], '""')
+        at = end + 1
+    return "".join([*out, text[at:]]) if out else text
+
 
+Counts = dict[str, tuple[int, ...]]
 
-def judge(word: str, own: Counter | None, corpus: Counter | None) -> tuple[bool, bool, bool]:
-    """Whether a full stop after ``word`` ends nothing before (a capital, a small letter, a figure)."""
-    n = Counter(corpus or {})
+
+def judge(word: str, own: Counter | None, corpus: tuple[int, ...] | None) -> tuple[bool, bool, bool]:
+    """Whether a full stop after ``word`` ends nothing before (a capital, a small letter, a figure).
+
+    ``corpus`` has how often c, l, d, p and e follow, see ``occurrences``.
+    """
+    n = Counter(dict(zip("cldpe", corpus or (), strict=False)))
     for k, v in (own or {}).items():
         n[k] += OWN * v
     capital, small, figure, end = n["c"], n["l"] + n["p"], n["d"], n["e"]
     total = capital + small + figure + end
     single = len(word) == 1
     # the corpus lists words that end less often than others; a word that it doesn't list ends sentences
-    never_ends = bool(corpus) and sum(corpus.values()) >= SEEN and end <= ENDS * total and (len(word) <= 5 or small + figure > capital)
+    never_ends = bool(corpus) and sum(corpus) >= SEEN and end <= ENDS * total and (len(word) <= 5 or small + figure > capital)
     return (single and end <= max(1, 0.05 * total)) or never_ends, single or small > 0.2 * total or never_ends, figure > 0.3 * total or (single and figure > 0)
 
 
@@ -124,46 +154,67 @@ class Splitter:
 
     def __init__(self, paragraphs: list[str], corpus: Counts):
         self.corpus = corpus
-        self.own: Counts = {}
+        self.own: dict[str, Counter] = {}
         self.folded = [shapes()(p) for p in paragraphs]
         for text, _ in self.folded:
             for word, what in occurrences(text):
                 self.own.setdefault(word, Counter())[what] += 1
         self.known: dict[str, tuple[bool, bool, bool]] = {}
+        self.words: set[str] | None = None
+        self.names: set[str] = set()
 
     def ends(self, no: int) -> list[int]:
         """Ends of the sentences of paragraph ``no``, in characters of the stored text."""
         text, places = self.folded[no]
         return [int(places[e - 1]) + 1 if places is not None else e for e in self._ends(text)]
 
-    def _abbreviation(self, text: str, stop: int, nxt: str) -> bool:
-        """Whether the full stop at ``stop`` ends nothing although ``nxt``, the text after the blanks, follows."""
-        m = _WORD.search(text[max(0, stop - 40) : stop])
-        if not m or not nxt:
-            return False
-        word = m[0].strip("’'-").lower()
-        first = _LETTER.search(nxt)
-        if not word or not first:
+    def _word_before(self, text: str, stop: int) -> str:
+        """The word that ends at ``stop``, single full stops within included."""
+        at = stop
+        while at and (_IN_WORD.match(text, at - 1) or (text[at - 1] == "." and at < stop and text[at] != "." and at > 1 and _IN_WORD.match(text, at - 2))):
+            at -= 1
+        return text[at:stop].strip("’'-").lower()
+
+    def _no_name(self, word: str) -> bool:
+        """Whether the document knows the word in small letters and never capitalised within a sentence; never an initial."""
+        if self.words is None:
+            self.words = {w for t, _ in self.folded for w in _SMALL.findall(t) if w.islower()}
+            self.names = {w.lower() for t, _ in self.folded for w in _INSIDE.findall(t) if not w.islower()}
+        return len(word) > 1 and word.lower() in self.words and word.lower() not in self.names
+
+    def _abbreviation(self, text: str, stop: int, at: int, n: int) -> bool:
+        """Whether the full stop at ``stop`` ends nothing although what stands at ``at``, after the blanks, follows."""
+        first = self._letter(text, at, n)
+        word = self._word_before(text, stop)
+        if not word or first < 0:
             return False
-        ch = first[0]
+        ch = text[first]
         if word.isdigit():
-            return len(word) <= 2 and ch.isalpha() and first.start() == 0
+            return len(word) <= 2 and ch.isalpha() and first == at
         if word not in self.known:
             self.known[word] = judge(word, self.own.get(word), self.corpus.get(word))
         capital, small, figure = self.known[word]
         if ch.isdigit():
             return figure
-        if ch.islower() and not nxt[first.end() : first.end() + 1].isupper():
+        if ch.islower() and not text[first + 1 : first + 2].isupper():
             return small
-        if first.start() and nxt[0] in _OPEN_AT and not capital:
+        if first > at and text[at] in _OPEN_AT and not capital:
             return False
-        return capital
+        return capital and not (ch.isupper() and self._no_name(_CASED.match(text, first)[0]))
+
+    def _letter(self, text: str, at: int, n: int) -> int:
+        """Where the first letter or figure from ``at`` on is, -1 if there is none; asked for in order."""
+        if not at <= self.letter:
+            m = _LETTER.search(text, at, n)
+            self.letter = m.start() if m else n
+        return self.letter if self.letter < n else -1
 
     def _ends(self, text: str) -> list[int]:
         n = len(text.rstrip())
         if not n:
             return []
         spans = _spans(text)
+        self.letter, self.stop = -1, None
         cuts = set()
         begin = 0
         at = 0
@@ -195,39 +246,42 @@ class Splitter:
         return _tidy(text, cuts, n)
 
     def _next_stop(self, text: str, at: int, limit: int, thai: bool, n: int) -> tuple[int, int] | None:
-        m = _END.search(text, at, limit)
+        # the last search is kept until it is passed, so that no stretch is searched twice
+        if self.stop is None or self.stop[0] < at:
+            m = _END.search(text, at, n)
+            self.stop = (m.start(), m.end()) if m else (n, n)
+        start = min(self.stop[0], limit)
         if thai:
-            for b in re.finditer(r" +", text[at : m.start() if m else limit]):
-                i, j = at + b.start(), at + b.end()
+            for b in _BLANKS.finditer(text, at, start):
+                i, j = b.start(), b.end()
                 if 0 < i and j < n and j - i == 1 and _parts_thai(text[i - 1], text[j]):
                     return i, i
-        return (m.start(), m.end()) if m else None
+        return self.stop if self.stop[0] < limit else None
 
     def _is_end(self, text: str, start: int, end: int, n: int) -> bool:
         if start == end:
             return True  # a blank between Thai clauses
-        mark = text[start:end]
-        rest = text[end:n]
-        if not rest.strip():
+        if end >= n:
             return True
-        nxt = rest.lstrip()
-        blank = rest[0].isspace()
+        at = _INK.search(text, end).start()
+        blank = at > end
+        mark = text[start:end]
         if mark[0] == "…" or (len(mark) > 1 and set(mark) == {"."}):
             if not blank:
                 return False
-            k = _LETTER.search(nxt)
-            ch = k[0] if k else ""
+            first = self._letter(text, at, n)
+            ch = text[first] if first >= 0 else ""
             return bool(ch) and (ch.isdigit() or ch.isupper() or (not ch.islower() and not _cjk(ch)))
         if mark == ".":
             before = text[start - 1 : start]
             if not blank:
-                return nxt[0] in CLOSERS
+                return text[at] in CLOSERS
             if before and "ऀ" <= before <= "ॿ":
                 return False
             if before and _THAI.match(before):
                 return False
-            return not self._abbreviation(text, start, nxt)
-        if mark[-1] in "!?" and not blank and nxt[0] in ",;:，；：":
+            return not self._abbreviation(text, start, at, n)
+        if mark[-1] in "!?" and not blank and text[at] in ",;:，；：":
             return False
         return True
 
@@ -247,6 +301,7 @@ def _spans(text: str) -> dict[int, int]:
     """Where each outermost pair opens and closes; marks without a partner count for nothing."""
     pairs: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, list[int]] = {}  # where in the stack what each closing mark closes is
     straight = -1
     for m in _MARKS.finditer(text):
         ch, i = m[0], m.start()
@@ -257,14 +312,14 @@ def _spans(text: str) -> dict[int, int]:
             else:
                 straight = i
             continue
-        wanted = [k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ch]
-        if wanted:
-            pairs.append((stack[wanted[0]][1], i))
-            del stack[wanted[0] :]
-        elif ch in SPEECH:
-            stack.append((SPEECH[ch], i))
-        elif ch in BRACKETS:
-            stack.append((BRACKETS[ch], i))
+        if waiting.get(ch):
+            to = waiting[ch][-1]
+            pairs.append((stack[to][1], i))
+            while len(stack) > to:
+                waiting[stack.pop()[0]].pop()
+        elif (closing := SPEECH.get(ch) or BRACKETS.get(ch)) is not None:
+            waiting.setdefault(closing, []).append(len(stack))
+            stack.append((closing, i))
     out: dict[int, int] = {}
     reach = -1
     for a, b in sorted(pairs):
@@ -279,14 +334,21 @@ _MARKS = re.compile("[" + re.escape("".join({*SPEECH, *SPEECH.values(), *BRACKET
 
 def _speech_ends(text: str, opened: int, closed: int, begin: int) -> bool:
     """Whether a sentence ends with the speech between these marks."""
-    said = text[opened + 1 : closed].rstrip()
-    if not said or said[-1] not in STOPS + "…":
+    said = _last_ink(text, opened + 1, closed)
+    if not said or said not in STOPS + "…":
         return False
-    lead = text[begin:opened].rstrip()
-    rest = text[closed + 1 :].lstrip()
-    if not lead.strip():
+    lead = _last_ink(text, begin, opened)
+    if not lead:
+        rest = _INK.search(text, closed + 1)
         return bool(rest) and rest[0] in SPEECH and rest[0] != '"'
-    return lead[-1] in ":：,，、"
+    return lead in ":：,，、"
+
+
+def _last_ink(text: str, low: int, high: int) -> str:
+    """The last character between that isn't blank; none gives an empty string."""
+    while high > low and text[high - 1].isspace():
+        high -= 1
+    return text[high - 1] if high > low else ""
 
 
 def _closers(text: str, end: int, spans: dict[int, int]) -> int:
@@ -315,8 +377,7 @@ def _tidy(text: str, cuts: set[int], n: int) -> list[int]:
 def abbreviation_counts(df: DataFrame, paragraphs: str) -> DataFrame:
     """(word, c, l, d, p, e) over the whole corpus: how often a word with full stop is followed by what.
 
-    Counted per task and added up by word, so a frequent word sends one row per task. Words of which fewer than
-    two occurrences were seen are left out; they say nothing.
+    Counted per task and added up by word, so a frequent word sends one row per task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,46 +388,71 @@ def abbreviation_counts(df: DataFrame, paragraphs: str) -> DataFrame:
                 for text in exploded(strings(batch.column(0)))[2].to_pylist():
                     if text and _MAYBE.search(text):
                         seen.update(occurrences(fold(text)[0]))
-        words = sorted({w for w, _ in seen if len(w) <= 12})
+        words = sorted({w for w, _ in seen})
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[w, k] for w in words], pa.int64()) for k in "cldpe")], names=["word", *"cldpe"])
 
     rows = df.select(paragraphs).mapInArrow(run, "word string, c long, l long, d long, p long, e long")
-    sums = rows.groupBy("word").agg(*(F.sum(k).alias(k) for k in "cldpe"))
-    return sums.where("c + l + d + p + e >= 2")
+    return rows.groupBy("word").agg(*(F.sum(k).alias(k) for k in "cldpe"))
 
 
-#: Words fetched as fallback; the rest are judged by the document and by their length.
-MAX_WORDS = 200_000
+#: Words up to which the fallback is a table on every worker; beyond, each document is joined to its words.
+MAX_WORDS = 100_000
 
 
-def abbreviations(counts: DataFrame) -> Counts:
-    """The words that may be abbreviations: those rarely or never at an end, or often before a small letter.
+def abbreviations(counts: DataFrame) -> DataFrame:
+    """The words that may be abbreviations: those rarely or never at an end, or often before a small letter or figure.
 
-    Words that behave as any last word of a sentence need no entry. What is left is a list of abbreviations,
-    which doesn't grow with the corpus beyond the languages' stock; it is refused beyond ``MAX_WORDS``.
+    Words that behave as any last word of a sentence need no entry, see ``judge``.
     """
-    some = counts.where("e <= 0.02 * (c + l + d + p + e) or l + p > 0.2 * (c + l + d + p + e) or d > 0.3 * (c + l + d + p + e) or length(word) <= 2").where("length(word) <= 6 or l + d > c")
-    rows = some.limit(MAX_WORDS + 1).collect()
-    if len(rows) > MAX_WORDS:
-        raise ValueError("too many abbreviations; raise the support they need")
-    return {r["word"]: Counter({k: r[k] for k in "cldpe"}) for r in rows}
+    every = "(c + l + d + p + e)"
+    return counts.where(f"(e <= 0.02 * {every} and (length(word) <= 6 or l + p + d > c)) or l + p > 0.2 * {every} or d > 0.3 * {every} or length(word) <= 2")
+
+
+def _dotted(paragraphs: list[str | None] | None) -> set[str]:
+    fold = shapes()
+    return {w for t in paragraphs or () if t and _MAYBE.search(t) for w, _ in occurrences(fold(t)[0])}
+
+
+def _with_words(df: DataFrame, key: str, paragraphs: str, words: DataFrame) -> DataFrame:
+    """``key``, ``paragraphs`` and ``_words``, the fallback of each document's own words."""
+    schema = df.select(key).schema.add("word", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in chunks(big, paragraphs):
+                row, word = [], []
+                for i, texts in enumerate(batch.column(1).to_pylist()):
+                    for w in sorted(_dotted(texts)):
+                        row.append(i)
+                        word.append(w)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(word, pa.string())], names=schema.names)
+
+    rows = df.select(key, paragraphs)
+    own = rows.mapInArrow(run, schema).distinct().join(words, "word").groupBy(key).agg(F.collect_list(F.struct("word", *"cldpe")).alias("_words"))
+    own = own.withColumnRenamed(key, "_key")
+    return rows.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, paragraphs, "_words")
 
 
-def sentence_ends(df: DataFrame, key: str, paragraphs: str, corpus: Counts) -> DataFrame:
+def sentence_ends(df: DataFrame, key: str, paragraphs: str, words: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """(key, para_no, sentence_no, end_pos) for every sentence of every paragraph.
 
-    A document is a row of ``df``; repeated rows are documents of their own. Null and blank paragraphs and empty
+    ``words`` is what ``abbreviations`` gives for the corpus. Up to ``max_words`` of them go to every worker, else
+    each document is joined to those it has. A document is a row of ``df``; repeated rows are documents of their own. Null and blank paragraphs and empty
     arrays have no sentence; a paragraph without a terminator is one. Other columns are dropped.
     """
     schema = df.select(key).schema.add("para_no", "integer").add("sentence_no", "integer").add("end_pos", "integer")
-    shared = df.sparkSession.sparkContext.broadcast(corpus)
+    listed = words.select("word", *"cldpe").limit(max_words + 1).collect()
+    beyond = len(listed) > max_words
+    shared = df.sparkSession.sparkContext.broadcast({} if beyond else {r[0]: tuple(r[1:]) for r in listed})
+    rows = _with_words(df, key, paragraphs, words) if beyond else df.select(key, paragraphs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in chunks(big, paragraphs):
                 row, para, sent, end = [], [], [], []
+                own = ({w["word"]: tuple(w[k] for k in "cldpe") for w in ws or ()} for ws in batch.column(2).to_pylist()) if beyond else None
                 for i, texts in enumerate(batch.column(1).to_pylist()):
-                    splitter = Splitter([t or "" for t in texts or ()], shared.value)
+                    splitter = Splitter([t or "" for t in texts or ()], shared.value if own is None else next(own))
                     for p in range(len(splitter.folded)):
                         for k, e in enumerate(splitter.ends(p)):
                             row.append(i)
@@ -375,4 +461,4 @@ def sentence_ends(df: DataFrame, key: str, paragraphs: str, corpus: Counts) -> D
                             end.append(e)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int32()) for x in (para, sent, end))], names=schema.names)
 
-    return df.select(key, paragraphs).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
