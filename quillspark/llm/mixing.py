@@ -3,70 +3,79 @@
 A mix is a schedule of slots of equal size. Slot i belongs to the source into whose share of the cumulated
 weights the golden-ratio point frac((i + 1/2) * phi) falls; such points are spread so evenly that any stretch of
 the schedule has the sources in nearly their weights. Each source's documents, shuffled by a hash and repeated
-as often as allowed, form a stream of tokens, cut into blocks of the slot's size; the k-th slot of a source takes
-its k-th block. A document belongs to the block in which it begins; the last one of a source is taken if at least
-half of it lies within the source's part.
+as often as needed and allowed, form a stream of tokens, cut into blocks of the slot's size; the k-th block of a
+source goes into its k-th slot. A document belongs to the block in which it begins; the last one of a source is
+taken if at least half of it lies within the source's part.
 
-The total is the largest at which every source that has documents keeps its weight without repeating a document
-more than allowed; where no source is limited, the least at which each is used up once. Sources without
-documents can't contribute; the others share their weight in proportion.
+A mix has as many tokens as its sources have together, unless told otherwise. A source too small for its part is
+repeated, at most as often as its cap allows; what it can't give then is reported as its shortfall, and the others
+keep their parts. Sources without documents can't contribute; the others share their weight in proportion.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_small
 from ..session import cut
 
 GOLDEN = (5**0.5 - 1) / 2
-#: Slots in a mix. Shares are met to within a few slots.
-SLOTS = 4096
-#: Hash ranges that a source is cut in to add up its tokens.
-RANGES = 256
-#: Rows that a table of targets may have; it is planned on the driver.
-MAX_TARGETS = 100_000
-
-
-@dataclass(frozen=True)
-class Target:
-    mix_id: int
-    source: str
-    weight: float
-    max_repeats: int | None
-
-
-def schedule(weights: list[float], slots: int = SLOTS) -> np.ndarray:
-    """Source of each slot."""
-    edges = np.cumsum(weights) / sum(weights)
-    points = ((np.arange(slots) + 0.5) * GOLDEN) % 1.0
-    return np.minimum(np.searchsorted(edges, points, "right"), len(weights) - 1)
-
-
-def plan_mix(targets: list[Target], tokens: dict[str, int], total: float | None = None, slots: int = SLOTS) -> list[tuple[Target, float, np.ndarray]]:
-    """(target, tokens of a block, slots) of each source of one mix that contributes."""
-    usable = [t for t in targets if t.weight and t.weight > 0 and tokens.get(t.source, 0) > 0 and (t.max_repeats is None or t.max_repeats > 0)]
-    if not usable:
-        return []
-    whole = sum(t.weight for t in usable)
-    if total is None:
-        limits = [t.max_repeats * tokens[t.source] * whole / t.weight for t in usable if t.max_repeats is not None]
-        total = min(limits) if limits else max(tokens[t.source] * whole / t.weight for t in usable)
-    order = schedule([t.weight for t in usable], slots)
-    block = total / slots
-    return [(t, block, np.flatnonzero(order == k)) for k, t in enumerate(usable)]
+#: Tokens of a slot.
+BLOCK = 16_384
+#: Slots ranked together, and documents whose tokens are added up together.
+CHUNK = 65_536
+ROWS = 500_000
+
+
+def schedule(mixes: DataFrame) -> DataFrame:
+    """(mix_id, source, k, slot): the k-th slot of each source, from mixes (mix_id, n_slots, edges).
+
+    ``edges`` has struct(upper, source) in order, one for each source of the mix. Slots are made and ranked in
+    chunks, so a schedule of any length is spread over tasks.
+    """
+    chunks = mixes.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_slots") - 1) / CHUNK)))).repartition("mix_id", "_chunk")
+    slots = chunks.withColumn("slot", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, F.col("n_slots")) - 1)))
+    turn = (F.col("slot") + 0.5) * GOLDEN
+    passed = F.size(F.filter("edges", lambda e: e["upper"] <= F.col("_point")))
+    slots = slots.withColumn("_point", turn - F.floor(turn)).withColumn("source", F.get("edges", F.least(passed, F.size("edges") - 1))["source"]).select("mix_id", "source", "_chunk", "slot")
+    sums = slots.groupBy("mix_id", "source", "_chunk").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("mix_id", "source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("mix_id", "source", "_chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("mix_id", "source", "_chunk").orderBy("slot"))
+    return slots.withColumn("_row", inside).join(offsets, ["mix_id", "source", "_chunk"]).select("mix_id", "source", (F.col("_before") + F.col("_row") - 1).alias("k"), "slot")
+
+
+def plan_mixes(targets: DataFrame, tokens: DataFrame, total: float | None = None, keep_weights: bool = False, block: int = BLOCK) -> DataFrame:
+    """For every source of every mix that contributes: mix_id, source, whole (its tokens), asked, give, times, upper
+    (the end of its share of the cumulated weights) and n_slots of its mix.
+
+    ``tokens`` has source, whole. ``keep_weights`` takes the largest total at which no capped source falls short.
+    """
+    usable = targets.where("weight > 0 AND (max_repeats IS NULL OR max_repeats > 0)").join(tokens.where("whole > 0"), "source")
+    each = Window.partitionBy("mix_id")
+    part = F.col("weight") / F.sum("weight").over(each)
+    usable = usable.withColumn("_part", part)
+    most = F.col("max_repeats") * F.col("whole")
+    size: Column = F.sum("whole").over(each).cast("double") if total is None else F.lit(float(total))
+    if keep_weights:
+        size = F.least(size, F.coalesce(F.min(most / F.col("_part")).over(each), size))
+    usable = usable.withColumn("_total", size).withColumn("asked", F.col("_total") * F.col("_part")).withColumn("give", F.least("asked", F.coalesce(most.cast("double"), F.col("asked"))))
+    up_to = Window.partitionBy("mix_id").orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.ceil(F.col("_total") / block)
+    slots = (n + F.ceil(F.log2(n + 2)) + 8).cast("bigint")  # a source may be behind its share by as many
+    return usable.select("mix_id", "source", "whole", "asked", "give", F.ceil(F.col("give") / F.col("whole")).cast("int").alias("times"), F.sum("_part").over(up_to).alias("upper"), slots.alias("n_slots"))
 
 
 def token_offsets(sized: DataFrame, key: str, source: str, size: str) -> DataFrame:
-    """(source, key, tokens, start): where each document begins in its source's shuffled stream of tokens."""
+    """(source, key, tokens, start): where each document begins in its source's shuffled stream of tokens.
+
+    Tokens are added up in ranges of the hash, as many as there are ``ROWS`` documents, so that a source that has
+    a third of all documents is spread over tasks.
+    """
     rows = sized.where(F.col(source).isNotNull() & (F.col(size) > 0)).select(F.col(source).alias("source"), F.col(key).alias("key"), F.col(size).alias("tokens"))
-    place = F.xxhash64("key", F.lit(8))
-    rows = rows.withColumn("_h", place).withColumn("_range", F.pmod(F.shiftright(F.col("_h"), 40), F.lit(RANGES)))
+    ranges = max(64, rows.count() // ROWS)
+    rows = rows.withColumn("_h", F.xxhash64("key", F.lit(8))).withColumn("_range", F.pmod(F.shiftright(F.col("_h"), 24), F.lit(ranges)))
     sums = rows.groupBy("source", "_range").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
@@ -74,40 +83,33 @@ def token_offsets(sized: DataFrame, key: str, source: str, size: str) -> DataFra
     return rows.withColumn("_in", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(offsets, ["source", "_range"]).select("source", "key", "tokens", (F.col("_before") + F.col("_in")).alias("start"))
 
 
-def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "tokens", total: float | None = None, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "tokens", total: float | None = None, keep_weights: bool = False, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(draws, shares).
 
     draws: mix_id, source, ``key``, repeat_no (from 0), slot, tokens, one row for every use of a document.
-    shares: mix_id, source, weight, target_share, tokens, share, n_draws for every row of ``targets``.
-    Documents of a null source, of sources in no mix, and of size 0 or null are not drawn. A null or negative
-    weight counts as 0; a null ``max_repeats`` means no cap. With ``total`` (tokens) a source that can't reach
-    its part under its cap gives what it has. Repeated documents are documents of their own. Empty tables give
-    no draws. Only sums per source of a mix come to the driver.
+    shares: mix_id, source, weight, target_share, tokens, share, n_draws, available (its tokens, once) and shortfall
+    (tokens of its part that it could not give under its cap) for every source of every mix.
+    Documents of a null source, of sources in no mix, and of size 0 or null are not drawn. Rows of one mix and source
+    count as one: weights are added, the greatest cap holds. A null or negative weight counts as 0; a null
+    ``max_repeats`` means no cap; a null mix or source draws nothing. ``total`` asks for another number of tokens.
+    Repeated documents are documents of their own. Empty tables give no draws. Nothing comes to the driver.
     """
-    spark = sized.sparkSession
-    rows = targets.select("mix_id", "source", F.coalesce("weight", F.lit(0.0)).alias("weight"), "max_repeats").limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    wanted = [Target(*r) for r in rows]
-    names = targets.select(F.col("source").alias(source)).distinct()
-    starts = cut(token_offsets(join_small(sized.select(key, source, size), names, [source], "left_semi"), key, source, size), "offsets")
-    tokens = {r[0]: r[1] for r in starts.groupBy("source").agg(F.sum("tokens")).collect()}
-    parts = []
-    for mix_id in dict.fromkeys(t.mix_id for t in wanted):
-        for t, block, own in plan_mix([t for t in wanted if t.mix_id == mix_id], tokens, total, slots):
-            need = len(own) * block
-            times = math.ceil(need / tokens[t.source])
-            if t.max_repeats is not None:
-                times = min(times, t.max_repeats)
-            parts.append((mix_id, t.source, block, need, times, tokens[t.source], own.tolist()))
-    plan = spark.createDataFrame(parts, "mix_id int, source string, block double, need double, times int, whole long, slots array<int>")
+    weight = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))
+    cap = F.when(F.count("max_repeats") == F.count("*"), F.max("max_repeats"))
+    wanted = cut(targets.groupBy("mix_id", "source").agg(F.sum(weight).alias("weight"), cap.alias("max_repeats")), "targets")
+    names = wanted.where("weight > 0").select(F.col("source").alias(source)).distinct()
+    starts = cut(token_offsets(cut(join_small(sized.select(key, source, size), names, [source], "left_semi"), "listed"), key, source, size), "offsets")
+    tokens = cut(starts.groupBy("source").agg(F.sum("tokens").alias("whole")), "tokens")
+    plan = cut(plan_mixes(wanted, tokens, total, keep_weights, block), "plan")
+    mixes = plan.groupBy("mix_id", "n_slots").agg(F.sort_array(F.collect_list(F.struct("upper", "source"))).alias("edges"))
     at = F.col("start") + F.col("repeat_no") * F.col("whole")
-    drawn = join_small(starts, plan, ["source"]).withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).where(at + F.col("tokens") / 2 <= F.col("need"))
-    draws = drawn.select("mix_id", "source", F.col("key").alias(key), "repeat_no", F.get("slots", F.least(F.floor(at / F.col("block")).cast("int"), F.size("slots") - 1)).alias("slot"), "tokens")
-    sums = draws.groupBy("mix_id", "source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_draws"))
+    drawn = join_small(starts, plan, ["source"]).withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).where(at + F.col("tokens") / 2 <= F.col("give"))
+    drawn = drawn.select("mix_id", "source", "key", "repeat_no", "tokens", "n_slots", F.floor(at / block).alias("k"))
+    draws = drawn.join(schedule(mixes), ["mix_id", "source", "k"], "left").select("mix_id", "source", F.col("key").alias(key), "repeat_no", F.coalesce("slot", "n_slots").alias("slot"), "tokens")
+    sums = drawn.groupBy("mix_id", "source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_draws"))
     each, every = Window.partitionBy("mix_id"), F.coalesce("tokens", F.lit(0))
-    named = spark.createDataFrame([(t.mix_id, t.source, t.weight) for t in wanted], "mix_id int, source string, weight double")
-    shares = named.join(sums, ["mix_id", "source"], "left").select(
-        "mix_id", "source", "weight", F.try_divide(F.col("weight"), F.sum("weight").over(each)).alias("target_share"), every.alias("tokens"), F.coalesce(F.try_divide(every, F.sum(every).over(each)), F.lit(0.0)).alias("share"), F.coalesce("n_draws", F.lit(0)).alias("n_draws")
-    )
+    shares = wanted.join(sums, ["mix_id", "source"], "left").join(tokens, "source", "left").join(plan.select("mix_id", "source", "asked", "give"), ["mix_id", "source"], "left").select(
+        "mix_id", "source", "weight", F.try_divide(F.col("weight"), F.sum("weight").over(each)).alias("target_share"), every.alias("tokens"), F.coalesce(F.try_divide(every, F.sum(every).over(each)), F.lit(0.0)).alias("share"),
+        F.coalesce("n_draws", F.lit(0)).alias("n_draws"), F.coalesce("whole", F.lit(0)).alias("available"), F.coalesce(F.round(F.col("asked") - F.col("give")).cast("bigint"), F.lit(0)).alias("shortfall"),
+    )
     return draws, shares

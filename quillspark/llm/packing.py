@@ -6,6 +6,9 @@ enumerated, and non-negative least squares finds how often to repeat each so tha
 histogram. The counts are rounded down; what is left is packed greedily, again over the histogram. The outcome
 is a list of patterns with repeat counts. Each item then finds its container from its size and its rank among
 the items of that size, so the items themselves are never gathered or ordered as a whole.
+
+An item above the capacity is divided into pieces that fill a container each, which need no plan and no rank: they
+are numbered by prefix sums over the items; only the rest is packed.
 """
 
 from __future__ import annotations
@@ -15,17 +18,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Unused space of an enumerated combination, as a share of the capacity.
 WINDOW = 0.004
 #: Sizes tried as partner for each size, spread over the histogram.
 PARTNERS = 16
-ROUNDS = 150
-#: Groups that the items of one size are ranked in, so that a frequent size is spread over tasks.
-SALTS = 256
+#: Least squares end once ten rounds lower the residual by less than this share of it, at the latest after so many.
+SETTLED = 1e-4
+ROUNDS = 3000
+#: Items numbered and ranked together, so that a frequent size is spread over tasks, and the fewest such groups.
+ROWS, GROUPS = 500_000, 64
+#: Entries of the plans that go to the workers at once; more containers' plans are used one batch after the other.
+ENTRIES = 2_000_000
 
 
 @dataclass
@@ -71,8 +80,13 @@ def solve_counts(which: np.ndarray, times: np.ndarray, counts: np.ndarray) -> np
     h = counts.astype(float)
     want = (h[which] * times).sum(1)
     x = want / np.maximum(1e-9, (times * times).sum(1)) / max(1.0, len(which) / max(1, n))
-    for _ in range(ROUNDS):
+    rest = np.inf
+    for k in range(ROUNDS):
         made = np.bincount(which.ravel(), (times * x[:, None]).ravel(), n)
+        if k % 10 == 0:
+            before, rest = rest, float(np.linalg.norm(made - h))
+            if before - rest <= SETTLED * rest:
+                break
         x *= want / np.maximum(1e-12, (made[which] * times).sum(1))
     return x
 
@@ -149,46 +163,91 @@ def layout(patterns: list[tuple[list[tuple[int, int]], int]]) -> Layout:
     return Layout((size << 40) | start, start, first, each, base)
 
 
-def pack(items: DataFrame, capacities: list[tuple[str, int]], key: str = "doc_id", size: str = "tokens") -> DataFrame:
-    """A container for every item, for each (name, capacity).
+def _layouts(groups: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """The plan of each container kind ``_i`` (capacity ``sizes[_i]``) as arrays, made in tasks from its histogram."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["_i"].iloc[0])
+        made = layout(plan(dict(zip(pdf["rest"].tolist(), pdf["n"].tolist(), strict=True)), sizes[i]))
+        return pd.DataFrame({"_i": [i], "key": [made.key.tolist()], "start": [made.start.tolist()], "base": [made.base.tolist()], "each": [made.each.tolist()], "containers": [made.containers]})
+
+    histogram = groups.groupBy("_i", "rest").agg(F.sum("n").alias("n"))
+    return histogram.groupBy("_i").applyInPandas(run, "_i int, key array<long>, start array<long>, base array<long>, each array<long>, containers long")
+
+
+def pack(items: DataFrame, capacities: list[tuple[str, int]] | DataFrame, key: str = "doc_id", size: str = "tokens") -> DataFrame:
+    """A container for every item, for each (name, capacity), given as a list or as a table of these two columns.
 
     Returns pack_id, ``key``, piece_no, start_pos (in tokens), tokens, pack_no. An item above the capacity is
     divided into pieces of exactly the capacity, a container each, and a rest that is packed like an item. Items
-    of size 0 or null take no space and go into container 0. Repeated keys are items of their own. Only the
-    histograms, at most ``capacity`` rows each, come to the driver.
+    of size 0 or null take no space and go into container 0. Repeated keys are items of their own. Null capacities
+    and those below 1 hold nothing and have no rows; equal rows count once. The plans are made in tasks from the
+    histograms, at most ``capacity`` rows each; they come to the driver to be shared, in batches of bounded size.
     """
     from ..session import cut
 
-    spark = items.sparkSession
-    caps = F.array(*(F.struct(F.lit(name).alias("pack_id"), F.lit(capacity).cast("long").alias("capacity")) for name, capacity in capacities))
-    rows = items.select(F.col(key), F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0)).alias("_size"), F.explode(caps).alias("_c")).select(key, "_size", "_c.*")
-    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest((F.col("_size") - 1) / F.col("capacity"), F.lit(0)).cast("long")))
-    pieces = rows.select(key, "pack_id", "capacity", "_size", piece.alias("piece_no"))
-    pieces = pieces.select(key, "pack_id", "capacity", F.col("piece_no").cast("int").alias("piece_no"), (F.col("piece_no") * F.col("capacity")).alias("start_pos"), F.least("capacity", F.col("_size") - F.col("piece_no") * F.col("capacity")).alias("tokens"))
-    salt = F.pmod(F.xxhash64(key, "piece_no"), F.lit(SALTS))
-    pieces = pieces.withColumn("_salt", salt)
-    groups = cut(pieces.groupBy("pack_id", "tokens", "_salt").agg(F.count("*").alias("n")), "histogram")
-    before = Window.partitionBy("pack_id", "tokens").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("pack_id", "tokens", "_salt").orderBy(key, "piece_no")
-    ranked = pieces.withColumn("_row", F.row_number().over(inside)).join(offsets, ["pack_id", "tokens", "_salt"])
-    ranked = ranked.select("pack_id", key, "piece_no", "start_pos", "tokens", (F.col("_before") + F.col("_row") - 1).alias("_rank"))
-    counts: dict[str, dict[int, int]] = {name: {} for name, _ in capacities}
-    for name, tokens, n in groups.groupBy("pack_id", "tokens").agg(F.sum("n").alias("n")).collect():
-        counts[name][tokens] = n
-    layouts = spark.sparkContext.broadcast({name: layout(plan(counts[name], capacity)) for name, capacity in capacities})
-    schema = ranked.drop("_rank").schema.add("pack_no", "long")
+    rows = capacities.collect() if isinstance(capacities, DataFrame) else capacities
+    wanted = sorted({(n, int(c)) for n, c in rows if c is not None and c > 0}, key=lambda x: (x[0] is None, x[0] or "", x[1]))
+    schema = items.select(F.lit(None).cast("string").alias("pack_id"), key).schema.add("piece_no", "integer").add("start_pos", "long").add("tokens", "long").add("pack_no", "long")
+    sized = cut(items.select(F.col(key), F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0)).alias("_size")), "items")
+    salts = max(GROUPS, sized.count() // ROWS)
+    out = items.sparkSession.createDataFrame([], schema)
+    while wanted:
+        many, total = 0, 0
+        while many < len(wanted) and (not many or total + wanted[many][1] <= ENTRIES):
+            total += wanted[many][1]
+            many += 1
+        out = out.unionByName(_pack(sized, wanted[:many], key, schema, salts))
+        wanted = wanted[many:]
+    return out
+
+
+def _pack(sized: DataFrame, capacities: list[tuple[str, int]], key: str, schema: StructType, salts: int) -> DataFrame:
+    from ..session import cut
+
+    spark = sized.sparkSession
+    kinds = F.array(*(F.struct(F.lit(i).alias("_i"), F.lit(c).cast("long").alias("_c")) for i, (_, c) in enumerate(capacities)))
+    rows = sized.withColumn("_salt", F.pmod(F.xxhash64(key, "_size"), F.lit(salts))).select(key, "_size", "_salt", F.explode(kinds).alias("_k")).select(key, "_size", "_salt", "_k.*")
+    rows = rows.select(key, "_size", "_salt", "_i", F.floor(F.col("_size") / F.col("_c")).alias("full"), (F.col("_size") % F.col("_c")).alias("rest"))
+    groups = cut(rows.groupBy("_i", "_salt", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")), "histogram")
+    plans = _layouts(groups.where("rest > 0").select("_i", "rest", "n"), {i: c for i, (_, c) in enumerate(capacities)}).collect()
+    shared = spark.sparkContext.broadcast({r["_i"]: Layout(*(np.array(r[c], np.int64) for c in ("key", "start", "base", "each")), r["containers"]) for r in plans})
+    # where each group begins: full pieces in the numbering of their kind, rests among those of their size
+    up_to = Window.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.groupBy("_i", "_salt").agg(F.sum("full").alias("n")).select("_i", "_salt", F.coalesce(F.sum("n").over(up_to.partitionBy("_i")), F.lit(0)).alias("_full0"))
+    ranks = groups.select("_i", "_salt", "rest", F.coalesce(F.sum("n").over(up_to.partitionBy("_i", "rest")), F.lit(0)).alias("_rank0"))
+    offsets = ranks.join(starts, ["_i", "_salt"])
+    # both windows run over the same groups
+    inside = Window.partitionBy("_i", "_salt").orderBy(key, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    among = Window.partitionBy("_i", "_salt", "rest").orderBy(key, "_size")
+    ranked = rows.withColumn("_full", F.coalesce(F.sum("full").over(inside), F.lit(0))).withColumn("_rank", F.row_number().over(among) - 1)
+    ranked = ranked.join(offsets, ["_i", "_salt", "rest"]).select(key, "_i", "_size", (F.col("_full") + F.col("_full0")).alias("_full"), (F.col("_rank") + F.col("_rank0")).alias("_rank"))
+    names = pa.array([n for n, _ in capacities], pa.string())
+    caps = np.array([c for _, c in capacities], np.int64)
+
+    def numbered(batch: pa.RecordBatch) -> pa.RecordBatch:
+        i, whole, full, rank = (batch.column(c).to_numpy() for c in ("_i", "_size", "_full", "_rank"))
+        cap = caps[i]
+        fulls, rest = whole // cap, whole % cap
+        count = fulls + ((rest > 0) | (whole == 0))
+        row = np.repeat(np.arange(len(i)), count)
+        piece = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+        out = np.zeros(len(row), np.int64)
+        for k in np.unique(i).tolist():
+            made = shared.value.get(k)
+            mine = np.flatnonzero((i[row] == k) & (piece < fulls[row]))
+            out[mine] = (made.containers if made else 0) + full[row[mine]] + piece[mine]
+            mine = np.flatnonzero((i[row] == k) & (piece == fulls[row]) & (rest[row] > 0))
+            if len(mine):
+                x, r = rest[row[mine]], rank[row[mine]]
+                at = np.searchsorted(made.key, (x << 40) | r, "right") - 1
+                out[mine] = made.base[at] + (r - made.start[at]) // made.each[at]
+        tokens = np.where(piece < fulls[row], cap[row], rest[row])
+        return pa.RecordBatch.from_arrays([names.take(pa.array(i[row])), batch.column(key).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * cap[row]), pa.array(tokens), pa.array(out)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, rank = batch.column("tokens").to_numpy(), batch.column("_rank").to_numpy()
-            names = np.array(batch.column("pack_id").to_pylist(), object)
-            out = np.zeros(len(tokens), np.int64)
-            for name, plan_ in layouts.value.items():
-                mine = np.flatnonzero((names == name) & (tokens > 0))
-                if len(mine):
-                    at = np.searchsorted(plan_.key, (tokens[mine] << 40) | rank[mine], "right") - 1
-                    out[mine] = plan_.base[at] + (rank[mine] - plan_.start[at]) // plan_.each[at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), pa.array(out)], names=schema.names)
+            for at in range(0, batch.num_rows, 2000):
+                yield numbered(batch.slice(at, 2000))
 
     return ranked.mapInArrow(run, schema)

@@ -15,8 +15,7 @@ from .tokens import token_sizes
 def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pack for every document, for each capacity."""
     sizes = cut(token_sizes(table(spark, sf_dir, "documents"), ["doc_id"]), "sizes")
-    capacities = [tuple(r) for r in table(spark, sf_dir, "pack_capacity").orderBy("pack_id").limit(1000).collect()]
-    return pack(sizes, capacities)
+    return pack(sizes, table(spark, sf_dir, "pack_capacity").select("pack_id", "capacity_tokens"))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +26,11 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(capacity, "pack_id").withColumn("unused_share", 1 - F.col("tokens") / (F.col("n_packs") * F.col("capacity_tokens")))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, **options: bool) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
     # only documents of listed sources are measured
     listed = join_small(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), targets.where("weight > 0").select("source").distinct(), ["source"], "left_semi")
-    return mix(cut(token_sizes(listed, ["doc_id", "source"]), "sizes"), targets)
+    return mix(cut(token_sizes(listed, ["doc_id", "source"]), "sizes"), targets, **options)
 
 
 def p8_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +39,14 @@ def p8_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of each source."""
+    """The share of each source, and what it lacks under its cap."""
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p7_packs": p7_packs, "p7_fill": p7_fill, "p8_draws": p8_draws, "p8_shares": p8_shares}
+def p8_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the largest mixes in which no source falls short."""
+    return _mix(spark, sf_dir, keep_weights=True)[1]
+
+
+QUERIES = {"p7_packs": p7_packs, "p7_fill": p7_fill, "p8_draws": p8_draws, "p8_shares": p8_shares, "p8_exact_shares": p8_exact_shares}
 ORACLES: dict[str, str] = {}
