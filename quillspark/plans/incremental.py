@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import CommitStore, plan_run
+from ..operators.incremental import CommitStore, plan_run, process_new, text_hash
 from ..session import fresh_path, table
 
 
@@ -13,20 +13,36 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return table(spark, sf_dir, "chapters"), table(spark, sf_dir, "chapter_manifest"), table(spark, sf_dir, "run_log")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapters that are not settled, as a first run commits them."""
+def _run(spark: SparkSession, sf_dir: str, windows: int) -> DataFrame:
+    """What is left after so many runs, each of which knew so much more of the log and of the stored chapters."""
+    chapters, entries, runs = _tables(spark, sf_dir)
     store = CommitStore(spark, fresh_path(spark, "p3"))
-    return store.output(plan_run(*_tables(spark, sf_dir), store), "pending").select("book_id", "spine_index")
+    first, last = runs.agg(F.min("run_id"), F.max("run_id")).first()
+    low, high = chapters.agg(F.min("chapter_id"), F.max("chapter_id")).first()
+    for k in range(1, windows):
+        if last is not None and high is not None:
+            plan_run(chapters, entries, runs, store, first + (last - first) * k // windows, low + (high - low) * k // windows)
+    return store.output(plan_run(chapters, entries, runs, store), "pending")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters that are not settled, as a run commits them that goes on from an earlier run's watermarks."""
+    return _run(spark, sf_dir, 2).select("book_id", "spine_index")
 
 
 def p3_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same after two runs, the first of which knew only the first half of the runs."""
-    chapters, entries, runs = _tables(spark, sf_dir)
+    """The same after four runs."""
+    return _run(spark, sf_dir, 4)
+
+
+def p3_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text hash of every stored row, each made in the one of three runs that found it new."""
+    chapters = table(spark, sf_dir, "chapters")
     store = CommitStore(spark, fresh_path(spark, "p3"))
-    low, high = runs.agg(F.min("run_id"), F.max("run_id")).first()
-    if low is not None:
-        plan_run(chapters, entries, runs.where(F.col("run_id") <= (low + high) // 2), store)
-    return store.output(plan_run(chapters, entries, runs, store), "pending")
+    low, high = chapters.agg(F.min("chapter_id"), F.max("chapter_id")).first()
+    for k in (1, 2, 3):
+        process_new(chapters, "chapter_id", store, lambda d: d.select("chapter_id", text_hash(F.col("paragraphs")).alias("text_hash")), high=None if high is None else low + (high - low) * k // 3)
+    return store.read("out")
 
 
 _NOW = """
@@ -40,8 +56,9 @@ done AS (SELECT book_id, spine_index, lower(text_hash) AS h
 pending AS (SELECT * FROM now WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.book_id = now.book_id AND done.spine_index = now.spine_index AND done.h = now.text_hash))
 """
 
-QUERIES = {"p3_found": p3_found, "p3_windows": p3_windows}
+QUERIES = {"p3_found": p3_found, "p3_windows": p3_windows, "p3_hashes": p3_hashes}
 ORACLES = {
     "p3_found": f"WITH {_NOW} SELECT book_id, spine_index FROM pending",
     "p3_windows": f"WITH {_NOW} SELECT book_id, spine_index, chapter_id, text_hash FROM pending",
+    "p3_hashes": "SELECT chapter_id, sha256(array_to_string(paragraphs, chr(10))) AS text_hash FROM chapters",
 }

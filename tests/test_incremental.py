@@ -66,8 +66,57 @@ def test_pending(spark, tmp_path):
     assert got(first) == {("a", 1), ("c", 0), (None, None)}
     # a run that was open closes later: it is carried although its number lies below the watermark
     closed = spark.createDataFrame([(1, "ok"), (2, "failed"), (9, "ok")], RUNS)
-    assert first.open == (9,)
-    assert got(plan_run(chapters, entries, closed, store)) == {("a", 1), (None, None)}
+    assert [r.run_id for r in store.output(first, "open").collect()] == [9]
+    second = plan_run(chapters, entries, closed, store)
+    assert got(second) == {("a", 1), (None, None)} and store.output(second, "open").count() == 0
+
+
+def unread(chapters):
+    """The chapters with texts that can't be read."""
+    return chapters.withColumn("paragraphs", F.raise_error(F.lit("read a text")).cast("array<string>"))
+
+
+def test_a_text_is_read_once(spark, tmp_path):
+    """A run over an unchanged corpus touches no text, and one over a grown corpus only the new rows."""
+    chapters = spark.createDataFrame([(i, "b", i % 4, [f"t{i}"], T, "e") for i in range(8)], CHAPTERS)
+    entries = spark.createDataFrame([(i, "b", i, "t", sha(f"t{4 + i}"), "o", "done", i, T) for i in range(3)], ENTRIES)
+    runs = spark.createDataFrame([(i, "ok") for i in range(3)], RUNS)
+    store = CommitStore(spark, f"file://{tmp_path}/s")
+    got = lambda c: {(r.spine_index, r.chapter_id) for r in store.output(c, "pending").collect()}
+    assert got(plan_run(chapters, entries, runs, store)) == {(3, 7)}
+    assert got(plan_run(unread(chapters), entries, runs, store)) == {(3, 7)}
+    grown = unread(chapters).unionByName(spark.createDataFrame([(8, "b", 0, ["new"], T, "e"), (9, "b", 4, ["more"], T, "e")], CHAPTERS))
+    assert got(plan_run(grown, entries, runs, store)) == {(0, 8), (3, 7), (4, 9)}
+    late = entries.unionByName(spark.createDataFrame([(9, "b", 3, "t", sha("t7"), "o", "done", 5, T)], ENTRIES))
+    assert got(plan_run(unread(chapters), late, runs.union(spark.createDataFrame([(5, "ok")], RUNS)), store)) == {(0, 8), (4, 9)}
+
+
+def test_any_windows_give_what_one_gives(spark, tmp_path, monkeypatch):
+    """Also with merged layers, and with runs that die before or after their files are written."""
+    import random
+
+    from quillspark.operators import incremental
+
+    monkeypatch.setattr(incremental, "LAYERS", 2)
+    rng = random.Random(3)
+    text = lambda: [f"t{rng.randint(0, 3)}"]
+    chapters = spark.createDataFrame([(i, rng.choice("ab"), rng.randint(0, 5), text(), T + dt.timedelta(rng.randint(0, 2)), "e") for i in range(60)], CHAPTERS).cache()
+    entries = spark.createDataFrame([(i, rng.choice("ab"), rng.randint(0, 5), "t", sha(*text()), rng.choice(["o", "", None]), rng.choice(["done", "done", "error"]), i // 4, T + dt.timedelta(rng.randint(0, 2))) for i in range(80)], ENTRIES).cache()
+    runs = spark.createDataFrame([(i, rng.choice(["ok", "ok", "failed"])) for i in range(20)], RUNS)
+    one = CommitStore(spark, f"file://{tmp_path}/one")
+    want = {tuple(r) for r in one.output(plan_run(chapters, entries, runs, one), "pending").collect()}
+    many = CommitStore(spark, f"file://{tmp_path}/many")
+    publish = many._publish
+    for k, (run, row) in enumerate([(4, 10), (9, 10), (9, 40), (15, 55), (19, 59)]):
+        known = runs.withColumn("outcome", F.when((F.col("run_id") != 3) | F.lit(run > 9), F.col("outcome")))  # run 3 closes late
+        if k in (1, 3):
+            many._publish = lambda commit: (_ for _ in ()).throw(RuntimeError("lost before publishing"))
+            with pytest.raises(RuntimeError):
+                plan_run(chapters, entries, known, many, run, row)
+            many._publish = publish
+        plan_run(chapters, entries, known, many, run, row)
+    assert {tuple(r) for r in many.output(many.last(), "pending").collect()} == want and want
+    assert len(many.last().layers["texts"]) <= 3 and len(many.commits()) == 5
 
 
 def test_empty_tables(spark, tmp_path):
