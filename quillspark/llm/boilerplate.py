@@ -2,7 +2,9 @@
 
 A line's key is the hash of its lower-cased letters and marks. Keys with enough support within a source are the
 nodes of a graph, consecutive occurrences of two nodes its edges; nodes and edges weigh as many documents as hold
-them. Connected components over well supported edges are boilerplate blocks, whose occurrences are deleted.
+them. Connected components over well supported edges are boilerplate blocks, whose occurrences are deleted. A line
+that is excessive by itself is a block of its own, so edges tell which lines belong together and never whether a
+line goes.
 
 Only hashes are counted and shuffled, never text. A node stands in at least ``min_share`` of the source's
 documents, so a source has at most (lines per document) / min_share nodes: what is gathered per source is
@@ -12,7 +14,7 @@ bounded however large the source is.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_small
@@ -63,38 +65,36 @@ def _components(nodes: pd.DataFrame) -> pd.DataFrame:
 
 
 def boilerplate_blocks(keyed: DataFrame, min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The blocks (source, key, block, n_docs, n_source), and the documents with their source's node keys.
-
-    The second frame has doc, source, keys and ``nodes`` (array of keys) for documents of sources with nodes.
-    """
-    nodes = cut(repeated_lines(keyed, min_docs, min_percent), "lines")
-    per_source = nodes.groupBy("source").agg(F.collect_list("key").alias("nodes"))
-    matched = join_small(keyed, per_source, ["source"], limit=20_000)
-    kept = F.filter("keys", lambda k: F.array_contains("nodes", k))
-    pairs = F.array_distinct(F.filter(F.zip_with(kept, F.slice(kept, 2, F.size("keys") + 1), lambda a, b: F.struct(a.alias("key"), b.alias("next"))), lambda x: x["next"].isNotNull()))
-    edges = matched.select("source", F.explode(pairs).alias("e")).groupBy("source", "e.key", "e.next").agg(F.count("*").alias("weight"))
-    edges = join_small(edges, nodes.select("source", "n_source").distinct(), ["source"]).where((F.col("weight") >= min_docs) & (F.col("weight") * 100 >= F.col("n_source") * min_percent))
+    """The blocks (source, key, block, n_docs, n_source), and the occurrences of their lines (doc, source, line_no, key)."""
+    nodes = cut(repeated_lines(keyed, min_docs, min_percent), "nodes")
+    lines = keyed.where("source IS NOT NULL").withColumn("row", F.monotonically_increasing_id()).select("row", "doc", "source", F.posexplode("keys").alias("line_no", "key")).where("key IS NOT NULL")
+    found = cut(join_small(lines, nodes.select("source", "key"), ["source", "key"]), "found")
+    after = F.lead("key").over(Window.partitionBy("row").orderBy("line_no"))
+    pairs = found.select("row", "source", "key", after.alias("next")).where("next IS NOT NULL").distinct()
+    edges = pairs.groupBy("source", "key", "next").agg(F.count("*").alias("weight")).where(F.col("weight") >= min_docs)
+    edges = join_small(edges, nodes.select("source", "n_source").distinct(), ["source"]).where(F.col("weight") * 100 >= F.col("n_source") * min_percent)
     graph = nodes.select("source", "key", F.col("key").alias("next"), "n_docs", "n_source").unionByName(edges.select("source", "key", "next", F.lit(0).cast("bigint").alias("n_docs"), "n_source"))
     blocks = graph.groupBy("source").applyInPandas(_blocks_of_source, "source string, key bigint, block bigint, n_docs bigint, n_source bigint")
-    return blocks, matched
+    return blocks, found
 
 
 def _blocks_of_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return _components(pdf.sort_values("n_docs", ascending=False, kind="stable"))
 
 
-def find_repeated(df: DataFrame, doc: str, source: str, lines: str, min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT) -> tuple[DataFrame, DataFrame]:
+def find_repeated(df: DataFrame, doc: str, source: str, lines: str, min_docs: int = MIN_DOCS, min_percent: int = MIN_PERCENT, sites: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches, blocks). ``matches``: doc, line_no, block of every line to delete.
 
-    Documents of a null source belong to no site and lose nothing; null lines, lines without letters and null
-    or empty arrays match nothing; repeated rows of a document count and match each. Any other columns are
-    ignored.
+    ``sites`` (source, site) names the site of each source where it isn't a column of the documents; it joins the
+    hashed lines, never the text, and documents without a site are left out. Documents of a null source belong to no
+    site and lose nothing; null lines, lines without letters and null or empty arrays match nothing; repeated rows of
+    a document count and match each. Any other columns are ignored.
     """
-    keyed = cut(keyed_lines(df, doc, source, lines), "keys")
-    blocks, matched = boilerplate_blocks(keyed, min_docs, min_percent)
+    keyed = keyed_lines(df, doc, source, lines)
+    if sites is not None:
+        keyed = join_small(keyed, sites.select("source", "site"), ["source"]).select("doc", F.col("site").alias("source"), "keys")
+    blocks, found = boilerplate_blocks(cut(keyed, "keys"), min_docs, min_percent)
     blocks = cut(blocks, "blocks")
-    hit = F.filter(F.transform("keys", lambda k, i: F.struct(i.alias("line_no"), k.alias("key"))), lambda x: F.array_contains("nodes", x["key"]))
-    found = matched.select("doc", "source", F.explode(hit).alias("h")).select("doc", "source", "h.line_no", "h.key")
     return join_small(found, blocks.select("source", "key", "block"), ["source", "key"]).select("doc", "line_no", "block"), blocks
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_small
-from ..session import table
+from ..session import cut, table
 from .split import split_oversized
 
 
@@ -18,10 +18,12 @@ def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
-    chapters = join_small(table(spark, sf_dir, "chapters").select("chapter_id", "book_id", "paragraphs"), limits(spark, sf_dir), ["book_id"])
-    # short paragraphs are dropped inside the array, before anything is exploded
-    long = F.filter(F.transform("paragraphs", lambda p, i: F.struct(i.alias("para_no"), p.alias("text"))), lambda x: F.char_length(x["text"]) > F.col("limit"))
-    items = chapters.select("chapter_id", "limit", "overlap", F.explode(long).alias("x")).select("chapter_id", "limit", "overlap", "x.para_no", "x.text")
+    books = cut(limits(spark, sf_dir), "limits")
+    least = books.agg(F.min("limit")).first()[0]
+    # what is within every limit is dropped inside the array, before anything is exploded or joined
+    long = F.filter(F.transform("paragraphs", lambda p, i: F.struct(i.alias("para_no"), p.alias("text"))), lambda x: F.char_length(x["text"]) > F.lit(least))
+    rows = table(spark, sf_dir, "chapters").select("chapter_id", "book_id", F.explode(long).alias("x")).select("chapter_id", "book_id", "x.*")
+    items = join_small(rows, books, ["book_id"]).where(F.char_length("text") > F.col("limit"))
     return split_oversized(items, ["chapter_id", "para_no"], with_text=with_text)
 
 

@@ -1,9 +1,11 @@
 """Splitting oversized items at natural boundaries (problem 2).
 
-Boundaries have levels: section, paragraph, sentence, clause, word, character. A piece is filled greedily up to
-the limit and ends at the last boundary of the coarsest level that has one in the second half of the piece, or
-anywhere beyond the overlap; only a stretch without any boundary is cut between characters, and then never
-before a combining mark or inside a joined emoji. The next piece starts ``overlap`` characters before the cut.
+Boundaries have levels: section, paragraph, sentence, clause, word, character. An item is split at those of the first
+level; every part that is still too long is split at those of the next, and so on, characters last, and then never
+before a combining mark or inside a joined emoji unless a single such character is too long. The parts are packed
+greedily, in order, into pieces up to the limit; each piece but the first starts ``overlap`` characters before the
+end of the one before. A part is too long if it doesn't fit beside the overlap, so every piece adds at least one.
+Each level looks only at parts that are too long, so no text is searched more than once for a level.
 """
 
 from __future__ import annotations
@@ -25,46 +27,46 @@ LEVELS = (
     re.compile(r"\s+"),
 )
 _JOINERS = "‍︎️"
-_MARK = re.compile(r"[̀-֑ͯ-ֽً-ٟऀ-ःऺ-ॏัิ-ฺ็-๎⃐-⃿゙゚︀-️‍]|[\U0001f3fb-\U0001f3ff]")
+_MARK = r"[̀-֑ͯ-ֽً-ٟऀ-ःऺ-ॏัิ-ฺ็-๎⃐-⃿゙゚︀-️‍]|[\U0001f3fb-\U0001f3ff]"
+_CLUSTER = re.compile(f"(?s).(?:{_MARK}|(?<=[{_JOINERS}]).)*")
 
 
-def cut_point(text: str, low: int, half: int, high: int) -> int:
-    """The best cut in (low, high], preferring (half, high]."""
-    has_line = text.find("\n", low, high) >= 0
-    best = 0
-    for level, pattern in enumerate(LEVELS):
-        if level < 2 and not has_line:
-            continue
-        last = 0
-        for m in pattern.finditer(text, low, min(len(text), high + 2)):
-            end = m.end()
-            if end > high:
-                end = high if m.start() < high and text[m.start() : high].isspace() else 0
-                if not end:
-                    break
-            if end > low:
-                last = end
-        if last > half:
-            return last
-        best = best or last
-    if best:
-        return best
-    cut = high
-    while cut > low + 1 and cut < len(text) and (_MARK.match(text[cut]) or text[cut - 1] in _JOINERS):
-        cut -= 1
-    return cut if cut > low + 1 else high
+def parts(text: str, begin: int, end: int, room: int, level: int = 0) -> Iterator[int]:
+    """Ends of the parts of ``text[begin:end]`` that have at most ``room`` characters."""
+    if end - begin <= room:
+        yield end
+        return
+    if level == len(LEVELS):
+        at = begin
+        for m in _CLUSTER.finditer(text, begin, end):
+            while m.end() - at > room:
+                at += room
+                yield at
+            if m.end() > at:
+                at = m.end()
+                yield at
+        return
+    at = begin
+    if level > 1 or text.find("\n", begin, end) >= 0:
+        for m in LEVELS[level].finditer(text, begin, end):
+            if at < m.end() < end:
+                yield from parts(text, at, m.end(), room, level + 1)
+                at = m.end()
+    yield from parts(text, at, end, room, level + 1)
 
 
 def pieces(text: str, limit: int, overlap: int) -> Iterator[tuple[int, int]]:
     """(start, end) of the pieces of ``text``; one piece if it fits."""
     limit = max(1, limit)
     overlap = min(max(0, overlap), limit - 1)
-    start, size = 0, len(text)
-    while size - start > limit:
-        cut = cut_point(text, start + overlap, start + max(overlap, limit // 2), start + limit)
-        yield start, cut
-        start = cut - overlap
-    yield start, size
+    start = last = 0
+    if len(text) > limit:
+        for end in parts(text, 0, len(text), limit - overlap):
+            if end - start > limit:
+                yield start, last
+                start = last - overlap
+            last = end
+    yield start, len(text)
 
 
 def split_oversized(df: DataFrame, keys: list[str], text: str = "text", limit: str = "limit", overlap: str = "overlap", with_text: bool = True) -> DataFrame:
