@@ -30,7 +30,7 @@ KEY = ("book_id", "spine_index")
 #: Layers of the state that a run reads at most before it merges them into one.
 LAYERS = 8
 #: Touched chapters up to which they are broadcast to find them in the state; beyond, both are shuffled by chapter.
-TOUCHED = 500_000
+TOUCHED = 100_000
 
 
 @dataclass(frozen=True)
