@@ -110,16 +110,19 @@ def encoder(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             size[table[b]], one[table[b]] = 1, b
         return size, one, two
     size[:0x80], one[:0x80] = 1, np.arange(0x80)
-    for cp in (*range(0xA0, 0xD800), *range(0xE000, 0x10000)):
-        try:
-            raw = chr(cp).encode(name)
-        except UnicodeEncodeError:
-            continue
+    for cp, raw in _encoded(name, 0xA0):
         if len(raw) <= 2:
             size[cp], one[cp], two[cp] = len(raw), raw[0], raw[-1]
     return size, one, two
 
 
+def _encoded(name: str, low: int) -> list[tuple[int, bytes]]:
+    """Each code point from ``low`` to 65,535 that the encoding has, and its bytes; all are encoded in one call."""
+    cps = (*range(low, 0xD800), *range(0xE000, 0x10000))
+    parts = "\n".join(map(chr, cps)).encode(name, "replace").split(b"\n")
+    return [(cp, raw) for cp, raw in zip(cps, parts, strict=True) if raw != b"?"]
+
+
 @dataclass(frozen=True)
 class Model:
     """Counts of characters and hashed character pairs over the whole corpus."""
@@ -244,11 +247,9 @@ def strange(cps: np.ndarray, starts: np.ndarray, model: Model) -> tuple[np.ndarr
 def _size_table(right: str) -> np.ndarray:
     """Bytes of each character below 65,536 in a double-byte encoding."""
     size = np.ones(0x10000, np.int64)
-    for cp in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
-        try:
-            size[cp] = len(chr(cp).encode(right))
-        except UnicodeEncodeError:
-            size[cp] = 2
+    size[0x80:] = 2
+    for cp, raw in _encoded(right, 0x80):
+        size[cp] = len(raw)
     return size
 
 
@@ -313,7 +314,8 @@ def undo(cps: np.ndarray, starts: np.ndarray, own: np.ndarray, chain: tuple[str,
         out[at[:-1][none]] = 0xDCFF
         at2 = np.arange(len(raw) + 1)
     else:
-        out = np.frombuffer(raw.tobytes().decode(right, "surrogateescape").encode("utf-32-le", "surrogatepass"), "<u4").copy()
+        text = raw.tobytes().decode(right, "surrogateescape")
+        out = np.array([text], f"<U{max(1, len(text))}").view(np.uint32)[: len(text)].copy()  # surrogates as they are
         sizes = _sizes(out, right)
         if sizes.sum() != len(raw):
             sizes = _sizes_exactly(raw.tobytes(), right)
@@ -337,16 +339,16 @@ def undo(cps: np.ndarray, starts: np.ndarray, own: np.ndarray, chain: tuple[str,
     after = after[before]
     # the end of a text is the start of the next
     first = np.searchsorted(before, starts)
-    text = np.repeat(np.arange(len(starts) - 1), np.diff(first))
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(first))
     gain = new[after] - own[before]
-    each = gain[:-1] - 1e6 * text
+    each = gain[:-1] - 1e6 * owner
     low = np.minimum.accumulate(each)
     here = np.maximum.accumulate(np.where(each <= low, np.arange(len(each)), 0))
     rise = each - low
     best = np.maximum.reduceat(rise, first[:-1])
-    top = np.flatnonzero(rise == best[text])[::-1]
+    top = np.flatnonzero(rise == best[owner])[::-1]
     end = np.zeros(len(starts) - 1, np.int64)
-    end[text[top]] = top
+    end[owner[top]] = top
     return Undone(best, here[end], end, gain, before, after, first, out)
 
 

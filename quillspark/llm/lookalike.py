@@ -47,6 +47,8 @@ KANA = {"ロ": "口", "ニ": "二", "ハ": "八", "エ": "工", "カ": "力", "
 RADICALS = {"⺀": "冫", "⺁": "厂", "⺄": "乙", "⺅": "亻", "⺈": "刀", "⺉": "刂", "⺊": "卜", "⺋": "卩", "⺍": "小", "⺎": "兀", "⺏": "尣", "⺒": "巳", "⺓": "幺", "⺕": "彐", "⺖": "忄", "⺘": "扌", "⺙": "攵", "⺛": "旡", "⺠": "民", "⺡": "氵", "⺢": "氺", "⺣": "灬", "⺤": "爫", "⺨": "犭", "⺩": "王", "⺫": "罒", "⺬": "示", "⺭": "礻", "⺮": "竹", "⺯": "糸", "⺰": "纟", "⺲": "罒", "⺶": "羊", "⺹": "耂", "⺻": "聿", "⺼": "月", "⺽": "臼", "⺾": "艹", "⺿": "艹", "⻀": "艹", "⻁": "虎", "⻂": "衤", "⻃": "覀", "⻄": "西", "⻅": "见", "⻆": "角", "⻈": "讠", "⻉": "贝", "⻊": "足", "⻋": "车", "⻌": "辶", "⻍": "辶", "⻎": "辶", "⻏": "阝", "⻐": "钅", "⻑": "長", "⻒": "镸", "⻓": "长", "⻔": "门", "⻕": "阝", "⻖": "阝", "⻗": "雨", "⻘": "青", "⻙": "韦", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻟": "飠", "⻠": "饣", "⻢": "马", "⻣": "骨", "⻤": "鬼", "⻥": "鱼", "⻦": "鸟", "⻧": "卤", "⻨": "麦", "⻩": "黄", "⻬": "齐", "⻮": "齿", "⻰": "龙", "⻲": "龟"}
 
 _SIZE = 0x110000
+#: The planes that have characters of their own.
+ASSIGNED = (*range(0x34000), *range(0xE0000, 0xE1000))
 _DROP = 0xFFFFFFFF
 _L, _V, _T, _S = 0x1100, 0x1161, 0x11A7, 0xAC00
 
@@ -60,7 +62,7 @@ class _Tables:
         canonical: dict[int, str] = {}
         wide: dict[int, str] = {}
         alike = {ord(a): ord(b) for a, b in (LOOKALIKES | RADICALS).items()}
-        for cp in range(_SIZE):
+        for cp in ASSIGNED:
             ch = chr(cp)
             kind = unicodedata.category(ch)
             if kind in ("Cn", "Co", "Cs") and not 0xE0000 <= cp <= 0xE0FFF:
@@ -159,7 +161,7 @@ def shape_table() -> np.ndarray:
         out[cp] = t.last[ord(unicodedata.normalize("NFD", chr(cp))[0])]
     out[[0x3099, 0x309A, 0xFF9E, 0xFF9F]] = 0
     lower = np.arange(_SIZE, dtype=np.uint32)
-    for cp in range(_SIZE):
+    for cp in ASSIGNED:
         low = chr(cp).lower() if not 0xD800 <= cp < 0xE000 else ""
         if len(low) == 1:
             lower[cp] = ord(low)
@@ -325,11 +327,13 @@ def _spellings(items: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame
 def alike(items: DataFrame, group: list[str]) -> DataFrame:
     """The rows of ``items`` whose form stands in their group in more than one spelling.
 
-    What has several spellings is joined by checked broadcast, else salted, so a form that a third of all rows have
-    makes even tasks.
+    Only hashes of 64 bits are counted over all rows: those of a form in its group, and the least and greatest of its
+    spellings'. What has several is joined by checked broadcast, else salted, so a form that a third of all rows have
+    makes even tasks. Forms whose hashes collide come along; ``equal_looking_pairs`` compares the whole of them.
     """
-    rows, spelled = _spellings(items, group)
-    return join_small(rows, spelled.select("_g", "form").distinct(), ["_g", "form"], "left_semi").drop("_g")
+    rows = items.withColumn("_k", F.xxhash64(*(F.coalesce(F.col(g).cast("string"), F.lit("\x00")) for g in group), F.col("form")))
+    spelled = rows.select("_k", F.xxhash64("raw").alias("_s")).groupBy("_k").agg(F.min("_s").alias("a"), F.max("_s").alias("b")).where("a <> b").select("_k")
+    return join_small(rows, spelled, ["_k"], "left_semi").drop("_k")
 
 
 def classes(items: DataFrame, group: list[str], order: list[str]) -> DataFrame:
