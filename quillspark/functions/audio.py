@@ -107,10 +107,10 @@ def percent(position: Column, total: Column) -> Column:
 
 
 def resolve_jobs(spec: str, total: int, cores: int) -> int:
-    """Number of workers: a positive number, or 'auto' for the cores but no more than there is work."""
+    """Number of workers: a positive number, or 'auto' for the cores; no more than there is work, but one."""
     if spec.strip().lower() == "auto":
         return min(max(cores, 1), max(total, 1))
     jobs = int(spec) if spec.strip().isdigit() else 0
     if jobs < 1:
         raise ValueError(f"jobs must be a positive number or auto, not {spec!r}")
-    return jobs
+    return min(jobs, max(total, 1))

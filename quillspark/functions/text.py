@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"\p{IsWhite_Space}"
+# The white space of Unicode.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Punctuation that Unicode compatibility folding made narrow and speech engines want wide; the comma stays narrow.
 NARROW, BROAD = "!?;:", "！？；："
 #: Characters after which an overlong sentence may be cut.
 SOFT_BREAKS = "，,、；;：:"
 #: A sentence: up to a run of terminators with closing marks, a full stop only before a blank or the end.
-SENTENCE = r"(?s).+?(?:(?:[。！？!?…]+|\.(?=\s|$))[”’\"'）)】」』]*|$)"
+SENTENCE = r"(?s).+?(?:(?:[。！？!?…]+|\.(?=\s|\z))[”’\"'）)】」』]*|\z)"
 
 
 def normalize_whitespace(s: Column) -> Column:
@@ -35,8 +37,8 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(s: Column) -> Column:
-    """Unicode normalization form KC; plain ASCII doesn't reach Python's normalizer but passes unchanged."""
-    return F.when(s.rlike(r"^[\x00-\x7F]*$"), s).otherwise(_nfkc(s))
+    """Unicode normalization form KC, by batches in Python: no expression of the engine knows the form."""
+    return _nfkc(s)
 
 
 def char_count(s: Column) -> Column:
@@ -44,9 +46,9 @@ def char_count(s: Column) -> Column:
 
 
 def split_sentences(s: Column) -> Column:
-    """Trimmed, non-empty sentences; a text of blanks alone gives one empty string."""
-    parts = F.filter(F.transform(F.regexp_extract_all(s, F.lit(SENTENCE), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(s)))
+    """Trimmed, non-empty sentences; a text of white space alone gives one empty string."""
+    parts = F.filter(F.transform(F.regexp_extract_all(s, F.lit(SENTENCE), F.lit(0)), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.btrim(s, F.lit(WHITE))))
 
 
 def last_soft_break(s: Column) -> Column:

@@ -24,6 +24,18 @@ def chapter_rows(chapters: DataFrame, index: str = "spine_index") -> DataFrame:
     )
 
 
+def current_rows(chapters: DataFrame, index: str = "spine_index") -> DataFrame:
+    """``chapter_rows`` of each chapter's current row: the one loaded last, then that of the greatest chapter_id.
+
+    Every text is hashed where it is read; title, hash and counts travel once, for the choice.
+    """
+    order = F.struct(F.coalesce(F.col("loaded_at"), F.lit("0001-01-01").cast("timestamp")).alias("at"), F.col("chapter_id").alias("id"))
+    count = F.size(F.coalesce("paragraphs", F.array().cast("array<string>"))).cast("bigint")
+    rows = chapters.select("book_id", F.col(index).cast("bigint").alias("index"), F.struct(order.alias("o"), "title", text_hash(F.col("paragraphs")).alias("text_hash"), count.alias("paragraphs")).alias("r"))
+    last = rows.groupBy("book_id", "index").agg(F.max("r").alias("r"))
+    return last.select("book_id", "index", "r.title", "r.text_hash", "r.paragraphs", F.lit(None).cast("string").alias("output"), F.lit("parsed").alias("status"))
+
+
 def book_manifests(rows: DataFrame, books: DataFrame, created_at: Column | None = None, tool: str = TOOL) -> DataFrame:
     """One row per book with its chapters in order. ``books`` has book_id, title, source."""
     nested = rows.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("index", "title", "text_hash", "paragraphs", "output", "status"))).alias("chapters"))
@@ -49,7 +61,7 @@ def positions(chapters: DataFrame, index: str = "spine_index") -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("book_id", "_part").orderBy(index))
     at = (F.col("_before") + F.col("_row") - 1).cast("int")
     numbered = keys.withColumn("_row", inside).join(before, ["book_id", "_part"]).select("book_id", index, at.alias("ordinal"), "n_chapters")
-    rows = join_small(chapters.drop("ordinal", "n_chapters", "percent"), numbered, ["book_id", index])
+    rows = join_small(chapters.drop("ordinal", "n_chapters", "percent"), numbered, ["book_id", index], unique=True)
     return rows.withColumn("percent", F.round(F.lit(100.0) * (F.col("ordinal") + 1) / F.col("n_chapters")).cast("int"))
 
 
@@ -79,13 +91,26 @@ def resume(current: DataFrame, earlier: DataFrame, by_hash: bool = False) -> Dat
     return earlier.join(kept, "book_id", "left_semi").select(current.columns).unionByName(current.join(kept, "book_id", "left_anti"))
 
 
+def listed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of all files below a folder of any file system; no content is read. Paths of local files have no
+    scheme."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return listed.select(plain_path(F.col("path")).alias("path"), "length")
+
+
+def plain_path(path: Column) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def done_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Rows that need no synthesis: status done and an output that is a file with something in it.
 
     ``files`` has path and length, as the binaryFile source lists them.
     """
-    listed = files.select(F.col("path").alias("output"), F.col("length").alias("_n"))
-    return rows.where("status = 'done' AND output IS NOT NULL").join(listed, "output").where(not_empty(F.col("output"), F.col("_n"))).select("book_id", "index")
+    listed = files.select(plain_path(F.col("path")).alias("_path"), F.col("length").alias("_n"))
+    named = rows.where("status = 'done' AND output IS NOT NULL").withColumn("_path", plain_path(F.col("output")))
+    return named.join(listed, "_path").where(not_empty(F.col("output"), F.col("_n"))).select("book_id", "index")
 
 
 def pending(rows: DataFrame, done: DataFrame) -> DataFrame:
@@ -110,6 +135,12 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records that workers left of single chapters, like the rows of ``flat``; one that can't be read is an error."""
+    schema = "book_id string, " + CHAPTER.removeprefix("struct<").removesuffix(">").replace(":", " ")
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def flat(manifests: DataFrame) -> DataFrame:
     return manifests.select("book_id", F.explode("chapters").alias("c")).select("book_id", "c.*")
 

@@ -7,7 +7,6 @@ without shuffling, as a chapter stays in its row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,22 +15,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.numerals import normalize_for_speech
-from ..functions.text import SOFT_BREAKS, split_sentences
+from ..functions.text import SOFT_BREAKS, WHITE, split_sentences
 
-_SOFT = re.compile(f"[{SOFT_BREAKS}]")
 MAX_CHARS = 160
 
 
 def cut_sentence(sentence: str, limit: int) -> list[str]:
-    """Pieces of at most ``limit`` characters, after the last soft break within each, else at the limit."""
-    pieces = []
-    rest = sentence.strip()
-    while len(rest) >= limit:
-        cut = max((rest.rfind(c, 0, limit) for c in SOFT_BREAKS), default=-1) + 1 or limit
-        left = rest[:cut].strip()
+    """Pieces of at most ``limit`` characters (at least one).
+
+    A window of ``limit`` characters is cut after its last soft break, else at its end. What is left of it goes on,
+    without white space at its ends, before the characters that follow.
+    """
+    limit = max(1, limit)
+    pieces, rest, at = [], "", 0
+    while len(rest) + len(sentence) - at >= limit:
+        take = limit - len(rest)
+        window, at = rest + sentence[at : at + take], at + take
+        cut = max((window.rfind(c) for c in SOFT_BREAKS), default=-1) + 1 or limit
+        left = window[:cut].strip(WHITE)
         if left:
             pieces.append(left)
-        rest = rest[cut:].strip()
+        rest = window[cut:].strip(WHITE)
+    rest = (rest + sentence[at:]).strip(WHITE)
     if rest:
         pieces.append(rest)
     return pieces
@@ -88,7 +93,10 @@ def _kc_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_chunks(df: DataFrame, paragraphs: str = "paragraphs", limit: int | Column = MAX_CHARS, numbers: bool | Column = True, out: str = "chunks") -> DataFrame:
-    """``df`` with an array of chunks. Null paragraphs count as empty, a null array gives a null one."""
+    """``df`` with an array of chunks. Null paragraphs count as empty, a null array gives a null one; a limit below 1
+    is refused, in a column it counts as 1."""
+    if isinstance(limit, int) and limit < 1:
+        raise ValueError(f"chunks must have at least one character, not {limit}")
     limit = F.lit(limit) if isinstance(limit, int) else limit
     kc = df.withColumn("_kc", _kc_all(F.col(paragraphs)))
     return kc.withColumn(out, _pack(chapter_sentences(F.col("_kc"), numbers), limit)).drop("_kc")

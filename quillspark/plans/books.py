@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import audio
 from ..operators import manifest as m
 from ..operators.extract import extract_chapters
+from ..operators.segment import with_chunks
 from ..session import fresh_path, spread, table
-from ..sources import epub
+from ..sources import epub, wav
 from ..streaming import folder
+from . import oracles as o
+from . import texts
 from .pipeline import convert, current, inspect
 
 
@@ -26,7 +29,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.chapter_rows(_current(spark, sf_dir))
+    return m.current_rows(table(spark, sf_dir, "chapters"))
 
 
 def book_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +42,7 @@ def book_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position, percentage and progress line of each chapter in its book."""
-    rows = m.positions(_current(spark, sf_dir))
+    rows = m.positions(manifest_rows(spark, sf_dir).select("book_id", F.col("index").cast("int").alias("spine_index"), "title"))
     return rows.select("book_id", "spine_index", "ordinal", "n_chapters", "percent", m.progress_line("synthesize").alias("line"))
 
 
@@ -85,24 +88,60 @@ def catalogue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markup_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chapter written as markup and extracted again."""
+    """Every chapter written as markup, its paragraphs as nested h2, p and li, and extracted again."""
 
     def escape(s):
         return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
 
-    body = F.array_join(F.transform("paragraphs", lambda p: F.concat(F.lit("<p>"), escape(p))), "")
+    def placed(tag: str, at: int, inner: str) -> Column:
+        chosen = F.filter(F.transform("paragraphs", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: F.pmod(x["i"], F.lit(4)) == at)
+        return F.array_join(F.transform(chosen, lambda x: F.concat(F.lit(f"<{tag}><{inner}>"), escape(F.substring(x["p"], 1, 2)), F.lit(f"</{inner}>"), escape(F.substring(x["p"], F.lit(3), F.char_length(x["p"]))), F.lit(f"</{tag}>"))), "")
+
+    body = F.concat(F.lit("<div><section>"), placed("p", 0, "em"), F.lit("</section><ul>"), placed("li", 1, "span"), F.lit("</ul>"), placed("h2", 2, "i"), placed("p", 3, "b"), F.lit("</div>"))
     html = F.concat(F.lit("<html><head><title>"), escape(F.coalesce("title", F.lit(""))), F.lit("</title></head><body><h1>"), escape(F.coalesce("title", F.lit(""))), F.lit("</h1>"), body, F.lit("</body></html>"))
     rows = extract_chapters(spread(table(spark, sf_dir, "chapters").select("chapter_id", "item_id", html.alias("html"))), "html", "item_id")
     return rows.select("chapter_id", F.posexplode("paragraphs").alias("para_no", "text"))
 
 
-def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every book's current chapters written as an e-book and read back."""
-    target = fresh_path(spark, "epub").removeprefix("file://")
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every book's current chapters written as an e-book, and the archives read back."""
+    target = fresh_path(spark, "epub")
     books = table(spark, sf_dir, "book_manifest").groupBy("book_id").agg(F.max("book_id").alias("title"))
     epub.write_epubs(_current(spark, sf_dir), books, target).write.format("noop").mode("overwrite").save()
-    rows = epub.chapters(epub.read_epub(spark, f"file://{target}"))
-    return rows.select("book_id", "spine_index", F.size("paragraphs").alias("n_paragraphs"))
+    return epub.read_epub(spark, target)
+
+
+def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of every chapter of the archives."""
+    rows = epub.chapters(_written(spark, sf_dir))
+    return rows.select("book_id", "spine_index", F.size("paragraphs").alias("n_paragraphs"), F.array_join("paragraphs", "\n").alias("text"))
+
+
+def epub_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each archive's spine with the file that an item names."""
+    raw = _written(spark, sf_dir)
+    listed = epub.resources(raw).withColumnRenamed("id", "idref")
+    return epub.spine(raw).join(listed, ["book_id", "idref"], "left").select("book_id", "pos", "idref", F.coalesce("path", F.lit("missing")).alias("path"), "mime")
+
+
+def epub_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives' catalogues say of themselves."""
+    return epub.dump_opf(_written(spark, sf_dir)).select("manifest_count", "spine_count", "title")
+
+
+def resume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to narrate, from manifest files and sound files in a folder: the manifests are written as JSON and
+    read back; of the outputs that entries name, every third is missing and every third holds nothing but a header."""
+    folder = fresh_path(spark, "files")
+    books = table(spark, sf_dir, "book_manifest").groupBy("book_id").agg(F.max("source").alias("source"), F.max("title").alias("title"))
+    path = F.concat(F.lit(f"{folder}/sound/"), F.sha2("book_id", 256), F.lit("/"), F.col("index").cast("string"), F.lit(".wav"))
+    entries = _entries(spark, sf_dir).withColumn("output", F.when(F.col("output") != "", path).otherwise(F.col("output")))
+    m.write_manifest_files(m.book_manifests(entries, books), f"{folder}/books").write.format("noop").mode("overwrite").save()
+    spark.dataSource.register(wav.WavDataSource)
+    sounds = entries.where("output <> '' AND index % 3 <> 0").select(F.col("output").alias("path"), F.when(F.col("index") % 3 == 1, F.lit(b"")).otherwise(F.lit(b"\0\1" * 8)).alias("pcm"), F.lit(24_000).alias("sample_rate"))
+    sounds.write.format("wav").mode("append").option("folder", folder).save()
+    rows = m.flat(m.read_manifests(spark, f"{folder}/books/*/manifest.json"))
+    return m.pending(rows, m.done_rows(rows, m.listed_files(spark, f"{folder}/sound"))).select("book_id", "index", "status")
 
 
 def tone_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +172,32 @@ def convert_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("book_id", "index", "n_samples", "status")
 
 
+def chapter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every stored chapter as an engine is given them."""
+    rows = with_chunks(spread(table(spark, sf_dir, "chapters").select("chapter_id", "paragraphs")))
+    return rows.select("chapter_id", F.posexplode("chunks").alias("no", "chunk"))
+
+
+def voice_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style that a voice has for texts of some length: an unknown voice takes the default's, a longer text the last."""
+    pack = lambda k: F.array(*(F.array(F.array(F.lit(float(10 * k + i)), F.lit(0.5))) for i in range(3 + k)))
+    packs = F.create_map(F.lit("building_x"), pack(1), F.lit("default"), pack(2))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lower("c_mktsegment"), F.lit("_x")).alias("voice"))
+    return rows.select("c_custkey", F.get(audio.voice_style(packs, F.col("voice"), (F.col("c_custkey") % 8).cast("int"), "default"), 0).alias("style"), F.get(audio.voice_style(packs, F.col("voice"), F.lit(1)), 0).alias("known"))
+
+
+def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silence between chunks, and samples for as many characters as a chunk may have."""
+    return table(spark, sf_dir, "segment_config").select("config_id", F.size(audio.silence(audio.RATE, audio.PAUSE_MS)).alias("pause"), F.array_max(audio.silence(audio.RATE, 1)).cast("int").alias("loudest"), audio.tone_samples(F.col("max_chars_per_chunk")).alias("longest"))
+
+
+def manifest_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the times that manifests get are RFC 3339 in UTC."""
+    books = table(spark, sf_dir, "book_manifest").groupBy("book_id").agg(F.max("source").alias("source"), F.max("title").alias("title"))
+    stamped = m.book_manifests(manifest_rows(spark, sf_dir), books)
+    return stamped.select("book_id", "tool", F.col("created_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d+Z$").alias("rfc3339"))
+
+
 def stream_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest rows of all chapters, read as a stream."""
     at = fresh_path(spark, "stream")
@@ -157,9 +222,16 @@ _FINISH = """WITH a AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(
 QUERIES = {
     "manifest_rows": manifest_rows, "book_summaries": book_summaries, "progress": progress, "resume_by_count": resume_by_count, "resume_by_hash": resume_by_hash, "pending_by_status": pending_by_status,
     "manifest_update": manifest_update, "status_counts": status_counts, "spine_lookup": spine_lookup, "resource_listing": resource_listing, "catalogue_counts": catalogue_counts, "markup_chapters": markup_chapters,
-    "epub_chapters": epub_chapters, "tone_durations": tone_durations, "finished_signals": finished_signals, "parse_voices": voices, "inspect_chapters": inspect_chapters, "convert_chapters": convert_chapters, "stream_manifests": stream_manifests,
+    "epub_chapters": epub_chapters, "epub_spine": epub_spine, "epub_catalogue": epub_catalogue, "resume_files": resume_files, "chapter_chunks": chapter_chunks, "voice_styles": voice_styles, "pauses": pauses, "manifest_stamps": manifest_stamps, "tone_durations": tone_durations, "finished_signals": finished_signals, "parse_voices": voices, "inspect_chapters": inspect_chapters, "convert_chapters": convert_chapters, "stream_manifests": stream_manifests,
 }
-_WS = r"[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_WS = o.SPACE
+_TITLED = f"""t AS (SELECT chapter_id, title, item_id, {o.trimmed('title')} AS a, {o.trimmed('item_id')} AS b, {o.trimmed('paragraphs[1]')} AS p FROM chapters),
+    u AS (SELECT *, coalesce(a = '' OR lower(a) IN ('chapter', 'unknown', 'untitled') OR a = '未知', true) AS pa, coalesce(b = '' OR lower(b) IN ('chapter', 'unknown', 'untitled') OR b = '未知', true) AS pb FROM t),
+    titled AS (SELECT chapter_id, CASE WHEN NOT pa THEN title WHEN NOT pb THEN item_id ELSE
+        coalesce(nullif(regexp_replace({o.trimmed("substr(p, 1, 32)")}, '^[{_WS[1:-1]}。，,.；;：:]+|[{_WS[1:-1]}。，,.；;：:]+$', '', 'g'), ''), 'Chapter') END AS chosen FROM u)"""
+_PARAS = "paras AS (SELECT chapter_id AS id, unnest(range(len(paragraphs))) AS no, unnest(list_transform(paragraphs, lambda p: coalesce(p, ''))) AS text FROM chapters)"
+_PLAIN = f"WITH RECURSIVE {_PARAS}, {o.compatible('paras')}, flat AS (SELECT row_number() OVER () AS pid, id, no, {o.normalized('text')} AS text FROM kc)"
+_SPOKEN = f"{_PLAIN}, conv AS (WITH {texts._converted('pid', 'text', 'flat', 'converted')} SELECT id AS pid, converted FROM out_), said AS (SELECT id, no, coalesce(converted, text) AS text FROM flat LEFT JOIN conv USING (pid)), {o.chunked('said')}"
 ORACLES = {
     "manifest_rows": f"WITH {_NOW}, {_ROWS} SELECT *, CAST(NULL AS VARCHAR) AS output, 'parsed' AS status FROM rows_",
     "book_summaries": f"WITH {_NOW}, {_ROWS} SELECT b.book_id, CAST(count(index) AS INTEGER) AS n_chapters, CAST(coalesce(sum(paragraphs), 0) AS BIGINT) AS n_paragraphs, min(index) AS first_index FROM (SELECT DISTINCT book_id FROM book_manifest) b LEFT JOIN rows_ USING (book_id) GROUP BY b.book_id",
@@ -173,12 +245,28 @@ ORACLES = {
     "spine_lookup": f"WITH {_LAST} SELECT chapter_id, coalesce(output, 'missing') AS output FROM chapters c LEFT JOIN last l ON l.book_id = c.book_id AND l.index = c.spine_index",
     "resource_listing": "SELECT item_id, count(*) AS n FROM chapters WHERE item_id IS NOT NULL GROUP BY item_id ORDER BY item_id LIMIT 50",
     "catalogue_counts": "SELECT book_id, count(*) AS spine_count, count(DISTINCT item_id) AS manifest_count FROM chapters GROUP BY book_id",
-    "markup_chapters": f"""WITH x AS (SELECT chapter_id, list_filter(list_transform(paragraphs, lambda p: trim(regexp_replace(p, '{_WS}+', ' ', 'g'))), lambda p: p <> '') AS l, trim(regexp_replace(coalesce(title, ''), '{_WS}+', ' ', 'g')) AS t, regexp_replace(coalesce(title, ''), '^{_WS}+|{_WS}+$', '', 'g') AS h FROM chapters),
-        y AS (SELECT chapter_id, CASE WHEN t <> '' AND t <> h THEN list_prepend(t, l) WHEN len(l) = 0 AND t <> '' THEN [t] ELSE l END AS l FROM x)
-        SELECT chapter_id, CAST(unnest(range(len(l))) AS INTEGER) AS para_no, unnest(l) AS text FROM y""",
+    "markup_chapters": f"""WITH x AS (SELECT chapter_id, list_transform(paragraphs, lambda p: trim(regexp_replace(p, '{_WS}+', ' ', 'g'))) AS l, trim(regexp_replace(coalesce(title, ''), '{_WS}+', ' ', 'g')) AS t, {o.trimmed("coalesce(title, '')")} AS h,
+            {o.trimmed('paragraphs[3]')} AS second FROM chapters),
+        w AS (SELECT *, CASE WHEN h <> '' THEN h ELSE coalesce(second, '') END AS heading FROM x),
+        y AS (SELECT chapter_id, t, l, list_filter([t], lambda q: q <> '' AND q <> heading) AS h1, list_filter(list_transform(range(3, len(l) + 1, 4), lambda i: l[i]), lambda q: q <> '' AND q <> heading) AS h2,
+            list_filter(list_concat(list_transform(range(1, len(l) + 1, 4), lambda i: l[i]), list_transform(range(4, len(l) + 1, 4), lambda i: l[i])), lambda q: q <> '') AS p, list_filter(list_transform(range(2, len(l) + 1, 4), lambda i: l[i]), lambda q: q <> '') AS li FROM w),
+        z AS (SELECT chapter_id, list_concat(list_concat(h1, h2), list_concat(p, li)) AS m, trim(regexp_replace(t || array_to_string(list_concat(list_transform(range(1, len(l) + 1, 4), lambda i: l[i]), list_concat(list_transform(range(2, len(l) + 1, 4), lambda i: l[i]), list_concat(list_transform(range(3, len(l) + 1, 4), lambda i: l[i]), list_transform(range(4, len(l) + 1, 4), lambda i: l[i])))), ''), '{_WS}+', ' ', 'g')) AS whole FROM y),
+        v AS (SELECT chapter_id, CASE WHEN len(m) > 0 THEN m WHEN whole <> '' THEN [whole] ELSE [] END AS m FROM z)
+        SELECT chapter_id, CAST(unnest(range(len(m))) AS INTEGER) AS para_no, unnest(m) AS text FROM v""",
     "tone_durations": f"SELECT chapter_id, n AS n_samples, n * 2 + 44 AS n_bytes, n / 24000.0::DOUBLE AS seconds FROM (SELECT chapter_id, coalesce((SELECT CAST({_TONE} AS BIGINT) FROM unnest(paragraphs) u(p)), 0) + greatest(len(paragraphs) - 1, 0) * 3600 AS n FROM chapters)",
     "finished_signals": _FINISH,
     "parse_voices": "SELECT c_custkey, replace(lower(c_mktsegment), ' ', '') || '_x' AS voice, CASE WHEN c_nationkey % 3 = 2 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS speed FROM customer",
-    "epub_chapters": f"WITH {_NOW} SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY spine_index) - 1 AS INTEGER) AS spine_index, CAST(CASE WHEN n > 0 THEN n ELSE 0 END AS INTEGER) AS n_paragraphs FROM (SELECT *, len(list_filter(paragraphs, lambda p: regexp_replace(p, '{_WS}+', '', 'g') <> '')) AS n FROM now)",
+    "epub_chapters": f"""WITH {_NOW}, x AS (SELECT book_id, spine_index, list_filter(list_transform(paragraphs, lambda p: trim(regexp_replace(p, '{_WS}+', ' ', 'g'))), lambda p: p <> '') AS l FROM now)
+        SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY spine_index) - 1 AS INTEGER) AS spine_index, CAST(len(l) AS INTEGER) AS n_paragraphs, coalesce(array_to_string(l, chr(10)), '') AS text FROM x""",
+    "epub_spine": f"""WITH {_NOW}, x AS (SELECT book_id, item_id, row_number() OVER (PARTITION BY book_id ORDER BY spine_index) - 1 AS n FROM now)
+        SELECT book_id, CAST(n AS INTEGER) AS pos, coalesce(nullif(item_id, ''), 'c' || n) || '-' || n AS idref, 'OPS/c' || n || '.xhtml' AS path, 'application/xhtml+xml' AS mime FROM x""",
+    "epub_catalogue": f"WITH {_NOW} SELECT CAST(count(*) AS INTEGER) AS manifest_count, CAST(count(*) AS INTEGER) AS spine_count, book_id AS title FROM now GROUP BY book_id",
+    "resume_files": f"WITH {_LAST} SELECT book_id, index, status FROM last WHERE book_id IN (SELECT book_id FROM book_manifest) AND NOT coalesce(status = 'done' AND output <> '' AND index % 3 = 2, false)",
+    "chapter_chunks": f"{_SPOKEN} SELECT id AS chapter_id, CAST(unnest(range(len(chunks))) AS INTEGER) AS no, unnest(chunks) AS chunk FROM chunks",
+    "inspect_chapters": f"{_SPOKEN}, {_TITLED} SELECT book_id, spine_index, chapter_id, chosen AS title, CAST(len(paragraphs) AS INTEGER) AS n_paragraphs, CAST(coalesce(len(chunks), 0) AS INTEGER) AS n_chunks, {o.SAMPLES} AS n_samples FROM chapters JOIN titled USING (chapter_id) LEFT JOIN chunks ON chunks.id = chapter_id",
+    "convert_chapters": f"{_PLAIN}, {o.chunked('flat')}, {_NOW} SELECT book_id, CAST(spine_index AS BIGINT) AS index, {o.SAMPLES} AS n_samples, 'done' AS status FROM now LEFT JOIN chunks ON chunks.id = chapter_id",
+    "voice_styles": """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 10.0 + least(greatest(c_custkey % 8, 1), 4) - 1 ELSE 20.0 + least(greatest(c_custkey % 8, 1), 5) - 1 END::DOUBLE AS style, CASE WHEN c_mktsegment = 'BUILDING' THEN 10.0::DOUBLE END AS known FROM customer""",
+    "pauses": "SELECT config_id, 3600 AS pause, 0 AS loudest, CAST(480 * least(greatest(max_chars_per_chunk, 1), 200) AS BIGINT) AS longest FROM segment_config",
+    "manifest_stamps": "SELECT DISTINCT book_id, 'quillspark' AS tool, true AS rfc3339 FROM book_manifest",
     "stream_manifests": "SELECT book_id, count(*) AS n_rows, CAST(sum(len(paragraphs)) AS BIGINT) AS n_paragraphs FROM chapters GROUP BY book_id",
 }

@@ -23,13 +23,14 @@ def titled(chapters: DataFrame) -> DataFrame:
 
 
 def current(chapters: DataFrame) -> DataFrame:
-    """The row loaded last of each chapter, then that of the greatest chapter_id.
+    """The row loaded last of each chapter, then that of the greatest chapter_id, with its text.
 
-    Only ids travel for the choice; the text then follows by a semi-join on the unique chapter_id.
+    Only ids travel for the choice; the rows are then picked by their unique chapter_id, where they stand as long as
+    the ids fit on every worker. What needs no text takes ``manifest.current_rows``, which never moves any.
     """
     order = F.struct(F.coalesce(F.col("loaded_at"), F.lit("0001-01-01").cast("timestamp")).alias("at"), F.col("chapter_id").alias("id"))
     last = chapters.groupBy("book_id", "spine_index").agg(F.max(order).alias("o")).select(F.col("o.id").alias("chapter_id"))
-    return join_small(chapters, last, ["chapter_id"], "left_semi")
+    return join_small(chapters, last, ["chapter_id"], "left_semi", unique=True)
 
 
 def inspect(chapters: DataFrame, limit: int | Column = MAX_CHARS, numbers: bool | Column = True) -> DataFrame:
@@ -45,28 +46,38 @@ def inspect_line() -> Column:
 
 def convert(
     chapters: DataFrame, earlier: DataFrame | None = None, files: DataFrame | None = None, folder: str | None = None, engine: str = "tone", jobs: int | None = None, numbers: bool | Column = False,
-    limit: int | Column | None = None, pause_ms: int = PAUSE_MS, by_hash: bool = False, **options: object,
+    limit: int | Column | None = None, pause_ms: int = PAUSE_MS, by_hash: bool = False, records: DataFrame | None = None, **options: object,
 ) -> tuple[DataFrame, DataFrame]:
     """(results, manifest rows) of narrating the chapters that aren't done.
 
     ``chapters`` has book_id, spine_index, title, item_id and paragraphs. What is done is left out before any
     text is touched. Results have one row per narrated chapter: output, n_samples, sample_rate, status, error.
-    Without ``folder`` nothing is written. ``jobs`` is the number of partitions to spread the work over, as
+    ``records`` are those of a run that died, see ``manifest.read_records``; they hold for chapters of the same text.
+    With ``folder`` each chapter is recorded as soon as its file is whole; without it nothing is written. ``jobs`` is the number of partitions to spread the work over, as
     chapters take unequal time.
     """
     named = m.positions(titled(chapters))
     rows = m.chapter_rows(named)
     if earlier is not None:
         rows = m.resume(rows, earlier, by_hash)
+    if records is not None:
+        rows = m.resume(rows, records, True)
     todo = rows
-    if earlier is not None and files is not None:
+    if (earlier is not None or records is not None) and files is not None:
         todo = m.pending(rows, m.done_rows(rows, files))
-    work = named.join(todo.select("book_id", F.col("index").cast("int").alias("spine_index")), ["book_id", "spine_index"], "left_semi")
+    work = join_small(named, todo.select("book_id", F.col("index").cast("int").alias("spine_index")), ["book_id", "spine_index"], "left_semi", unique=True)
     work = work.repartition(jobs) if jobs else spread(work)
     chunked = with_chunks(work, "paragraphs", limit or ENGINE_CHARS.get(engine, MAX_CHARS), numbers)
     path = F.lit(None).cast("string")
     if folder:
         path = wav_path(F.concat(F.lit(f"{folder}/"), F.col("book_id"), F.lit("/chapters")), F.col("ordinal") + 1, F.col("title"))
     chunked = chunked.withColumn("path", path).withColumn("index", F.col("spine_index").cast("bigint"))
-    results = synthesize_chapters(chunked, ["book_id", "index", "ordinal", "n_chapters", "percent", "title"], "chunks", "path", engine, pause_ms, **options)
+    keys = ["book_id", "index", "ordinal", "n_chapters", "percent", "title"]
+    record = None
+    if folder:
+        place = F.concat(F.lit(f"{folder}/"), F.col("book_id"), F.lit("/progress/"), F.col("index").cast("string"), F.lit(".json"))
+        content = F.to_json(F.struct("book_id", "index", "title", m.text_hash(F.col("paragraphs")).alias("text_hash"), F.size("paragraphs").cast("bigint").alias("paragraphs"), F.col("path").alias("output"), F.lit("done").alias("status")))
+        chunked = chunked.withColumn("_place", place).withColumn("_note", content)
+        record = ("_place", "_note")
+    results = synthesize_chapters(chunked, keys, "chunks", "path", engine, pause_ms, record=record, **options)
     return results, rows

@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.titles import file_stem, safe_book_id, strip
 from ..operators.extract import extract_chapters
 
-BOOK = "path string, title string, error string, spine array<string>, resources array<struct<id:string,path:string,mime:string>>, documents array<struct<pos:int,idref:string,html:string>>"
+BOOK = "path string, title string, error string, rootfile string, spine array<string>, resources array<struct<id:string,path:string,mime:string>>, documents array<struct<pos:int,idref:string,html:string>>"
 
 
 def _local(tag: str) -> str:
@@ -41,7 +41,7 @@ def read_archive(path: str, data: bytes, with_text: bool = True) -> dict:
         items = [(e.get("id"), posixpath.normpath(posixpath.join(base, unquote(e.get("href", "")))), e.get("media-type")) for e in package.iter() if _local(e.tag) == "item"]
         spine = [e.get("idref") for e in package.iter() if _local(e.tag) == "itemref"]
     except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as e:
-        return {"path": path, "title": None, "error": f"{type(e).__name__}: {e}", "spine": [], "resources": [], "documents": []}
+        return {"path": path, "title": None, "error": f"{type(e).__name__}: {e}", "rootfile": None, "spine": [], "resources": [], "documents": []}
     where = {i: p for i, p, _ in items}
     documents = []
     if with_text:
@@ -52,7 +52,7 @@ def read_archive(path: str, data: bytes, with_text: bool = True) -> dict:
                 except KeyError:
                     html = ""  # listed but missing: an empty chapter
                 documents.append({"pos": pos, "idref": idref, "html": re.sub(r"^\s*<\?xml[^>]*\?>", "", html)})
-    return {"path": path, "title": title, "error": None, "spine": spine, "resources": [{"id": i, "path": p, "mime": m} for i, p, m in items], "documents": documents}
+    return {"path": path, "title": title, "error": None, "rootfile": root, "spine": spine, "resources": [{"id": i, "path": p, "mime": m} for i, p, m in items], "documents": documents}
 
 
 def read_epub(spark: SparkSession, path: str, with_text: bool = True) -> DataFrame:
@@ -67,16 +67,16 @@ def read_epub(spark: SparkSession, path: str, with_text: bool = True) -> DataFra
     return reader.load(path).select("path", "content").mapInPandas(run, BOOK)
 
 
-def books(raw: DataFrame) -> DataFrame:
-    """book_id, title, source. A blank title gives way to the file's name, kept as it is otherwise."""
+def _keyed(raw: DataFrame) -> DataFrame:
+    """Readable books with book_id and book_title, from their own row. A blank title gives way to the file's name."""
     stem = file_stem(F.col("path"))
     title = F.when(strip(F.col("title")) != "", F.col("title")).when(stem != "", stem).otherwise(F.lit("Book"))
-    return raw.where("error IS NULL").select(safe_book_id(title, F.col("path")).alias("book_id"), title.alias("title"), F.col("path").alias("source"))
+    return raw.where("error IS NULL").withColumn("book_title", title).withColumn("book_id", safe_book_id(F.col("book_title"), F.col("path")))
 
 
-def _keyed(raw: DataFrame) -> DataFrame:
-    own = books(raw).select("book_id", F.col("source").alias("path"), F.col("title").alias("book_title"))
-    return own.join(raw.drop("title", "error"), "path")
+def books(raw: DataFrame) -> DataFrame:
+    """book_id, title, source."""
+    return _keyed(raw).select("book_id", F.col("book_title").alias("title"), F.col("path").alias("source"))
 
 
 def spine(raw: DataFrame) -> DataFrame:
@@ -87,15 +87,24 @@ def resources(raw: DataFrame) -> DataFrame:
     return _keyed(raw).select("book_id", F.explode("resources").alias("r")).select("book_id", "r.id", "r.path", "r.mime")
 
 
-def chapters(raw: DataFrame, order: str = "tag") -> DataFrame:
-    """book_id, spine_index, ordinal, item_id, title, paragraphs, extracted_title; unresolvable spine items have none."""
-    docs = _keyed(raw).select("book_id", F.posexplode("documents").alias("ordinal", "d")).select("book_id", F.col("d.pos").alias("spine_index"), "ordinal", F.col("d.idref").alias("item_id"), F.col("d.html").alias("html"))
+def heads(raw: DataFrame) -> DataFrame:
+    """book_id, book_title, and the numbers of its spine items, resources and chapters."""
+    known = F.transform("resources", lambda r: r["id"])
+    found = F.size(F.filter("spine", lambda s: F.array_contains(known, s)))
+    return _keyed(raw).select("book_id", "book_title", F.size("spine").alias("spine_count"), F.size("resources").alias("manifest_count"), found.alias("n_chapters"))
+
+
+def chapters(raw: DataFrame, order: str = "tag", head: int | None = None) -> DataFrame:
+    """book_id, spine_index, ordinal, item_id, title, paragraphs, extracted_title; unresolvable spine items have none.
+    With ``head`` only so many of each book are taken out of its archive's list."""
+    keyed = _keyed(raw) if head is None else _keyed(raw).withColumn("documents", F.slice("documents", 1, head))
+    docs = keyed.select("book_id", F.posexplode("documents").alias("ordinal", "d")).select("book_id", F.col("d.pos").alias("spine_index"), "ordinal", F.col("d.idref").alias("item_id"), F.col("d.html").alias("html"))
     return extract_chapters(docs, "html", "item_id", order)
 
 
 def dump_opf(raw: DataFrame) -> DataFrame:
-    """Catalogue facts: number of manifest and spine items, title as it stands."""
-    return raw.select("path", F.size("resources").alias("manifest_count"), F.size("spine").alias("spine_count"), F.coalesce("title", F.lit("")).alias("title"))
+    """Catalogue facts: the package file, numbers of manifest and spine items, title as it stands."""
+    return raw.select("path", "rootfile", F.size("resources").alias("manifest_count"), F.size("spine").alias("spine_count"), F.coalesce("title", F.lit("")).alias("title"))
 
 
 class _Slice(InputPartition):
@@ -103,13 +112,27 @@ class _Slice(InputPartition):
         self.paths = paths
 
 
+def _store(path: str):
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 class _Reader(DataSourceReader):
+    """Lists a folder or a pattern of its last part on any file system that pyarrow knows; a task reads a book."""
+
     def __init__(self, options: dict):
-        import glob
-        import os
+        from fnmatch import fnmatch
+
+        from pyarrow import fs
 
-        path = options["path"].removeprefix("file://").removeprefix("file:")
-        self.paths = sorted(glob.glob(os.path.join(path, "**", "*.epub"), recursive=True) if os.path.isdir(path) else glob.glob(path))
+        store, inner = _store(options["path"])
+        head = options["path"][: len(options["path"]) - len(inner)]
+        info = store.get_file_info(inner)
+        folder, pattern = (inner, "*.epub") if info.type == fs.FileType.Directory else (posixpath.dirname(inner), posixpath.basename(inner))
+        found = store.get_file_info(fs.FileSelector(folder, recursive=info.type == fs.FileType.Directory, allow_not_found=True))
+        self.paths = sorted(head + f.path for f in found if f.type == fs.FileType.File and fnmatch(f.base_name, pattern))
 
     def partitions(self) -> list[InputPartition]:
         return [_Slice([p]) for p in self.paths] or [_Slice([])]
@@ -118,9 +141,10 @@ class _Reader(DataSourceReader):
         from pyspark.sql import Row
 
         for p in partition.paths:
-            with open(p, "rb") as f:
+            store, inner = _store(p)
+            with store.open_input_file(inner) as f:
                 x = read_archive(p, f.read())
-            yield (x["path"], x["title"], x["error"], x["spine"], [Row(**r) for r in x["resources"]], [Row(**d) for d in x["documents"]])
+            yield (x["path"], x["title"], x["error"], x["rootfile"], x["spine"], [Row(**r) for r in x["resources"]], [Row(**d) for d in x["documents"]])
 
 
 class EpubDataSource(DataSource):

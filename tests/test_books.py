@@ -143,24 +143,63 @@ def test_convert_and_resume(spark, tmp_path):
     assert lines[0] == "[001] Start | paragraphs: 1 | chunks: 1"
 
 
-def test_failed_chapter_goes_on(spark):
-    class Broken:
-        sample_rate = 10
-
-        def synthesize(self, text):
-            if "坏" in text:
-                raise RuntimeError("no voice")
-            return np.zeros(3, np.int16)
+def _broken(monkeypatch, tmp_path):
+    """An engine that workers can build: it fails for some texts."""
+    (tmp_path / "breaking.py").write_text(
+        "import numpy as np\nclass Engine:\n    sample_rate = 10\n    def synthesize(self, text):\n        if '坏' in text:\n            raise RuntimeError('no voice')\n        return np.ones(3, np.int16)\n"
+        "def build(folder, voices, name, **options):\n    assert name == 'unconditioned' and voices is None\n    return Engine()\n"
+    )
+    for f in ("model.bin", "config.json", "tokenizer.json"):
+        (tmp_path / f).write_text("{}")
+
+
+def test_failed_chapter_goes_on(spark, tmp_path, monkeypatch):
+    """A chapter that fails has status error and the message, and leaves no file and no record; the others go on."""
+    _broken(monkeypatch, tmp_path)
+    spark.sparkContext.addPyFile(str(tmp_path / "breaking.py"))
+    rows = [(1, ["好", "好"], f"{tmp_path}/1.wav", f"{tmp_path}/1.json", "{}"), (2, ["坏"], f"{tmp_path}/2.wav", f"{tmp_path}/2.json", "{}"), (3, None, f"{tmp_path}/3.wav", f"{tmp_path}/3.json", "{}")]
+    df = spark.createDataFrame(rows, "i int, chunks array<string>, path string, place string, note string")
+    out = speech.synthesize_chapters(df, ["i"], "chunks", "path", "codec", 1000, record=("place", "note"), model_dir=str(tmp_path), voice="unconditioned", runtime="breaking:build")
+    got = {r.i: (r.status, r.n_samples, r.error, r.output) for r in out.collect()}
+    assert got == {1: ("done", 16, None, f"{tmp_path}/1.wav"), 2: ("error", 0, "RuntimeError: no voice", None), 3: ("done", 0, None, f"{tmp_path}/3.wav")}
+    assert {p.name for p in tmp_path.glob("[123].*")} == {"1.wav", "1.json", "3.wav", "3.json"}
+
+
+def test_engine_folders(tmp_path):
+    with pytest.raises(FileNotFoundError, match="model.safetensors or model.bin, config.json, tokenizer.json"):
+        speech.build_engine("codec", model_dir=str(tmp_path))
+    with pytest.raises(FileNotFoundError, match="model.onnx, voices.bin, vocab.json"):
+        speech.build_engine("onnx", model_dir=str(tmp_path))
+    with pytest.raises(FileNotFoundError, match="index.json"):
+        speech.voice_folder(str(tmp_path))
+    (tmp_path / "index.json").write_text("{}")
+    assert speech.voice_folder(str(tmp_path)) == str(tmp_path)
+    (tmp_path / "voices").mkdir()
+    (tmp_path / "voices/index.json").write_text("{}")
+    assert speech.voice_folder(str(tmp_path)) == str(tmp_path / "voices")
+    with pytest.raises(ValueError, match="unknown engine"):
+        speech.build_engine("none")
+    assert speech.engine_options("tone", "x", "y", 100) == {"sample_rate": 100} and speech.engine_options("onnx", "x", None) == {"model_dir": "x"}
+
+
+def test_voice_file():
+    def varint(n):
+        return bytes([n]) if n < 251 else bytes([251]) + n.to_bytes(2, "little")
+
+    packs = {"zf_xiaoxiao": np.arange(600, dtype="<f4").reshape(2, 1, 300), "b": np.ones((3, 1, 4), "<f4")}
+    data = varint(len(packs)) + b"".join(varint(len(n)) + n.encode() + varint(len(p)) + b"".join(varint(len(r)) + b"".join(varint(len(v)) + v.tobytes() for v in r) for r in p) for n, p in packs.items())
+    got = speech.read_voices(data)
+    assert {n: p.tolist() for n, p in got.items()} == {n: p.tolist() for n, p in packs.items()}
+    assert speech.style_row(got["b"], 9).shape == (1, 4)
+    with pytest.raises(ValueError):
+        speech.read_voices(data + b"x")
 
-    speech.ENGINES["broken"] = Broken
-    df = spark.createDataFrame([(1, ["好"]), (2, ["坏"]), (3, None)], "i int, chunks array<string>")
-    import pandas as pd
 
-    assert speech.chapter_audio(Broken(), ["好", "好"], 1000).tolist() == [0] * 16
-    with pytest.raises(RuntimeError):
-        speech.chapter_audio(Broken(), ["坏"])
-    del pd, speech.ENGINES["broken"]
-    assert speech.synthesize_chapters(df, ["i"], engine="tone", sample_rate=100).count() == 3
+def test_voice_spec_is_that_of_the_columns(spark):
+    specs = ["", "auto", " Af-Sky @1.5", "x@", "x@y", "x@2", "a b"]
+    for generation in ("v1.0", "v1.1"):
+        rows = spark.createDataFrame([(i, s) for i, s in enumerate(specs)], "i int, s string").select("i", audio.parse_voice(F.col("s"), generation).alias("v")).orderBy("i").collect()
+        assert [(r.v.voice, r.v.speed) for r in rows] == [speech.voice_spec(s, generation) for s in specs]
 
 
 def test_command_line(tmp_path, capsys, spark):
@@ -169,17 +208,39 @@ def test_command_line(tmp_path, capsys, spark):
     book(tmp_path)
     path, out = f"file://{tmp_path}", str(tmp_path / "cli")
     assert main(["convert", path, "--out", out, "--sample-rate", "1000", "--jobs", "2"]) == 0
-    assert capsys.readouterr().out.startswith("[1/3 33%] done Start (")
+    said = capsys.readouterr().out
+    assert said.startswith("[1/3 33%] done Start (") and "parsed: 3 chapters" in said
     main(["convert", path, "--out", out, "--sample-rate", "1000", "--resume"])
-    assert capsys.readouterr().out.strip() == "[3/3 100%] done gone (0.0s)"
-    main(["inspect", path])
-    assert "[001] Start | paragraphs: 1 | chunks: 1" in capsys.readouterr().out
+    assert capsys.readouterr().out.splitlines()[0] == "[3/3 100%] done gone (0.0s)"
+    main(["inspect", path, "--head", "1"])
+    said = capsys.readouterr().out
+    assert "chapters: 3\n[001] Start | paragraphs: 1 | chunks: 1" in said and "[003]" not in said
     main(["dump-opf", path])
-    assert "spine: 4" in capsys.readouterr().out
+    assert "spine_items: 4" in capsys.readouterr().out
     main(["debug-spine", path])
-    assert "[01] idref=nowhere missing in resources" in capsys.readouterr().out
+    assert "spine: 4" in (said := capsys.readouterr().out) and "[01] idref=nowhere missing in resources" in said
     main(["list-zip", path, "--head", "1"])
-    assert capsys.readouterr().out.startswith("[0000] gone | path=OPS/gone.xhtml")
+    assert "resources: 3\nspine: 4\n[0000] gone | path=OPS/gone.xhtml" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["convert", path, "--max-chars", "-1"])
+
+
+def test_a_run_that_died_is_taken_up(tmp_path, capsys, spark):
+    """Without a manifest the workers' records tell what is done."""
+    from quillspark.cli import main
+
+    book(tmp_path)
+    path, out = f"file://{tmp_path}", tmp_path / "cli"
+    main(["convert", path, "--out", str(out), "--sample-rate", "1000"])
+    (manifest,) = out.glob("*/manifest.json")
+    first = json.loads(manifest.read_text())["chapters"]
+    manifest.unlink()
+    (next(out.glob("*/progress/2.json"))).unlink()  # the run died before this chapter
+    capsys.readouterr()
+    main(["convert", path, "--out", str(out), "--sample-rate", "1000", "--resume"])
+    said = [line for line in capsys.readouterr().out.splitlines() if line.startswith("[")]
+    assert [line[:5] for line in said] == ["[2/3 ", "[3/3 "]  # and the empty chapter, whose file holds nothing
+    assert json.loads(manifest.read_text())["chapters"] == first
 
 
 def test_wav_sink(spark, tmp_path):
