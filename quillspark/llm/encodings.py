@@ -120,7 +120,15 @@ def _encoded(name: str, low: int) -> list[tuple[int, bytes]]:
     """Each code point from ``low`` to 65,535 that the encoding has, and its bytes; all are encoded in one call."""
     cps = (*range(low, 0xD800), *range(0xE000, 0x10000))
     parts = "\n".join(map(chr, cps)).encode(name, "replace").split(b"\n")
-    return [(cp, raw) for cp, raw in zip(cps, parts, strict=True) if raw != b"?"]
+    known = [(cp, raw) for cp, raw in zip(cps, parts, strict=True) if raw != b"?"]
+    return known + _private() if name == "gbk" else known
+
+
+def _private() -> list[tuple[int, bytes]]:
+    """The user-defined characters of GBK: its free rows in order, which decoders take for private code points."""
+    rows = [(lead, trail) for leads in (range(0xAA, 0xB0), range(0xF8, 0xFF)) for lead in leads for trail in range(0xA1, 0xFF)]
+    rows += [(lead, trail) for lead in range(0xA1, 0xA8) for trail in range(0x40, 0xA1) if trail != 0x7F]
+    return [(0xE000 + i, bytes(pair)) for i, pair in enumerate(rows)]
 
 
 @dataclass(frozen=True)

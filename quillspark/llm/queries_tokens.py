@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_small
+from ..operators.joins import fits
 from ..session import cut, table
 from .mixing import mix
 from .packing import pack
@@ -28,8 +28,10 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str, **options: bool) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
-    # only documents of listed sources are measured
-    listed = join_small(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), targets.where("weight > 0").select("source").distinct(), ["source"], "left_semi")
+    # only documents of listed sources are measured, unless there are too many to broadcast: texts aren't shuffled for it
+    listed, names = table(spark, sf_dir, "documents").select("doc_id", "source", "text"), targets.where("weight > 0").select("source").distinct()
+    if fits(names):
+        listed = listed.join(F.broadcast(names), "source", "left_semi")
     return mix(cut(token_sizes(listed, ["doc_id", "source"]), "sizes"), targets, **options)
 
 

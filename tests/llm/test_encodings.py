@@ -131,6 +131,14 @@ def test_sizes_byte_by_byte():
         assert (exact == X._sizes(out.copy(), right)).mean() > 0.99
 
 
+def test_private_characters():
+    """Bytes of GBK's free rows, read as private characters."""
+    size, one, two = X.encoder("gbk")
+    for cp, raw in ((0xE000, b"\xaa\xa1"), (0xE233, b"\xaf\xfe"), (0xE234, b"\xf8\xa1"), (0xE4C5, b"\xfe\xfe"), (0xE4C6, b"\xa1\x40"), (0xE765, b"\xa7\xa0")):
+        assert size[cp] == 2 and bytes([one[cp], two[cp]]) == raw
+    assert size[0xE766] == 0
+
+
 def test_stretches_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):
