@@ -13,7 +13,7 @@ from .functions.audio import resolve_jobs
 from .operators import manifest as m
 from .operators.speech import engine_options
 from .plans.pipeline import convert, inspect, inspect_line
-from .session import cut, exists, get_session
+from .session import clean, cut, exists, get_session
 from .sources import epub
 
 
@@ -84,6 +84,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(r.line)
     else:
         run_convert(spark, raw, args)
+        clean(spark)
     return 0
 
 
