@@ -300,13 +300,17 @@ class Undone:
     out: np.ndarray
 
 
-def undo(cps: np.ndarray, starts: np.ndarray, own: np.ndarray, chain: tuple[str, str], model: Model) -> Undone:
-    """Undo a chain everywhere.
+@dataclass(frozen=True)
+class Bytes:
+    """Texts as the wrong encoding writes them: where each character begins, the bytes, and which it doesn't have."""
 
-    ``own`` is the cumulated likelihood of the texts as they are. The texts must not hold line feeds but end
-    with one each. What the wrong encoding doesn't have, and bytes that don't decode, come out as 0xDC80-0xDCFF.
-    """
-    right, wrong = chain
+    at: np.ndarray
+    raw: np.ndarray
+    none: np.ndarray
+
+
+def bytes_of(cps: np.ndarray, wrong: str) -> Bytes:
+    """Characters that the encoding doesn't have are a byte that begins none in any encoding."""
     size, one, two = encoder(wrong)
     small = np.minimum(cps, 0xFFFF)
     length = size[small].astype(np.int64)
@@ -317,6 +321,17 @@ def undo(cps: np.ndarray, starts: np.ndarray, own: np.ndarray, chain: tuple[str,
     raw[at[:-1]] = np.where(none, 0xFF, one[small])
     pair = length == 2
     raw[at[:-1][pair] + 1] = two[small[pair]]
+    return Bytes(at, raw, none)
+
+
+def undo(cps: np.ndarray, starts: np.ndarray, own: np.ndarray, right: str, written: Bytes, model: Model) -> Undone:
+    """Undo a chain everywhere.
+
+    ``own`` is the cumulated likelihood of the texts as they are, ``written`` their bytes in the wrong encoding. The
+    texts must not hold line feeds but end with one each. What the wrong encoding doesn't have, and bytes that don't
+    decode, come out as 0xDC80-0xDCFF.
+    """
+    at, raw, none = written.at, written.raw, written.none
     if right in SINGLE:
         out = decode_single_cached(right)[raw]
         out[at[:-1][none]] = 0xDCFF
@@ -448,6 +463,7 @@ def explain(texts: list[np.ndarray], model: Model, rights: list[set[str]] | None
         wide[k:] |= odd[:-k] & (row[k:] == row[:-k])
     beyond = (cps > 0x7F) & (cps != LOST)
     small = np.minimum(cps, 0xFFFF)
+    top = np.zeros(len(texts))
     for wrong in dict.fromkeys(d for _, d in CHAINS):
         has = encoder(wrong)[0][small] > 0
         two = wide[:-1] & wide[1:] & (has[:-1] | (cps[:-1] == LOST)) & (has[1:] | (cps[1:] == LOST)) & ((has & beyond)[:-1] | (has & beyond)[1:])
@@ -455,21 +471,32 @@ def explain(texts: list[np.ndarray], model: Model, rights: list[set[str]] | None
         if not len(ids):
             continue
         fine = has & (cps >= 0xC0)
-        use = np.zeros(len(texts), bool)
-        use[ids] = True
-        part = use[row]
-        own_cps, own_fine = cps[part], fine[part]
-        own_starts = np.concatenate([[0], np.cumsum(np.diff(starts)[ids])])
-        own = np.concatenate([[0], np.cumsum(likely[part], dtype=np.float64)])
         single = wrong in SINGLE
 
-        def ragged(a: int, b: int, k: int, own_fine=own_fine, own_starts=own_starts) -> bool:
-            return bool((a > own_starts[k] and own_fine[a - 1]) or own_fine[min(b, len(own_fine) - 1)])
-
+        def subset(ids: np.ndarray, wrong=wrong, fine=fine) -> tuple:
+            """What is needed to undo chains over these texts, whatever the right encoding."""
+            use = np.zeros(len(texts), bool)
+            use[ids] = True
+            part = use[row]
+            own_starts = np.concatenate([[0], np.cumsum(np.diff(starts)[ids])])
+            return ids, cps[part], fine[part], own_starts, np.concatenate([[0], np.cumsum(likely[part], dtype=np.float64)]), bytes_of(cps[part], wrong)
+
+        every = subset(ids)
+        # nothing decodes as UTF-8 without a lead byte before a continuation byte
+        raw, at = every[5].raw, every[5].at
+        lead = np.flatnonzero((raw[:-1] >= 0xC2) & (raw[:-1] <= 0xF4) & (raw[1:] >= 0x80) & (raw[1:] <= 0xBF))
+        some = np.unique(np.searchsorted(at[every[3]], lead, "right") - 1)
         for right in (e for e, d in CHAINS if d == wrong):
-            u = undo(own_cps, own_starts, own, (right, wrong), model)
+            if right == "utf-8" and not len(some):
+                continue
+            own_ids, own_cps, own_fine, own_starts, own, written = subset(ids[some]) if right == "utf-8" and len(some) < len(ids) else every
+
+            def ragged(a: int, b: int, k: int, own_fine=own_fine, own_starts=own_starts) -> bool:
+                return bool((a > own_starts[k] and own_fine[a - 1]) or own_fine[min(b, len(own_fine) - 1)])
+
+            u = undo(own_cps, own_starts, own, right, written, model)
             for k in np.flatnonzero(u.best > LEAST).tolist():
-                if rights is not None and right not in rights[ids[k]]:
+                if rights is not None and right not in rights[own_ids[k]]:
                     continue
                 # the best stretch, and all others that gain more than their price
                 a, b, base = int(u.begin[k]), int(u.end[k]), int(u.first[k])
@@ -484,13 +511,16 @@ def explain(texts: list[np.ndarray], model: Model, rights: list[set[str]] | None
                             if not (single and more <= RAGGED and ragged(int(u.before[lo + x]), int(u.before[lo + y]), k)):
                                 parts.append((lo + x, lo + y))
                                 gain += more
+                if gain < top[own_ids[k]] - BEHIND:
+                    continue  # as below, before anything is put together
+                top[own_ids[k]] = max(top[own_ids[k]], gain)
                 parts.sort()
                 pieces, at = [], int(own_starts[k])
                 for x, y in parts:
                     pieces += [own_cps[at : u.before[x]], _written(u, x, y, own_cps)]
                     at = int(u.before[y])
                 whole = np.concatenate([*pieces, own_cps[at : own_starts[k + 1]]])
-                found[ids[k]].append((gain, f"{right}>{wrong}", whole[whole != 10]))
+                found[own_ids[k]].append((gain, f"{right}>{wrong}", whole[whole != 10]))
     for own_found in found:
         own_found.sort(key=lambda x: (-x[0], x[1]))
         while own_found and own_found[-1][0] < own_found[0][0] - BEHIND:
