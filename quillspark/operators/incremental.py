@@ -17,6 +17,7 @@ yet; the next window takes along those that have one by then.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -139,6 +140,19 @@ class CommitStore:
             stream.close()
         self._context.rename(source, self._Path(f"{self.root}/_commits/{commit.version:012d}.json"), self._no_options)
 
+    def vacuum(self, older_than_s: float = 7 * 86_400) -> list[str]:
+        """Remove what runs that died left behind: attempts that no commit names and that are older than that, so that
+        none of a run still at work goes. Returns their names."""
+        folder = self._Path(f"{self.root}/data")
+        if not self._fs.exists(folder):
+            return []
+        named = {p.split("/")[1] for c in self.commits() for p in (*c.outputs.values(), *(x for xs in c.layers.values() for x in xs))}
+        limit = (time.time() - older_than_s) * 1000
+        gone = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName() not in named and s.getModificationTime() <= limit)
+        for name in gone:
+            self._fs.delete(self._Path(f"{self.root}/data/{name}"), True)
+        return gone
+
     def output(self, commit: Commit, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{commit.outputs[name]}")
 

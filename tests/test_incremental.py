@@ -31,6 +31,8 @@ def test_process_new_survives_failures(spark, tmp_path):
     process_new(rows(0, 8), "seq", store, lambda d: d)
     assert sorted(r.seq for r in store.read("out").collect()) == list(range(8))
     assert [c.high for c in store.commits()] == [4, 7, 7]
+    assert store.vacuum() == [] and store.vacuum(-5) == ["half"] and store.vacuum(-5) == []
+    assert sorted(r.seq for r in store.read("out").collect()) == list(range(8))
 
 
 def test_two_runs_cannot_commit_the_same_window(spark, tmp_path):
